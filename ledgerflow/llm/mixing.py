@@ -170,7 +170,8 @@ def spans(placed: DataFrame) -> DataFrame:
 
 def mixed(placed: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame:
     """The mix: a row for each slot and document in its block, with shard, epoch, first and length."""
-    return spans(placed).join(slots(placed.sparkSession, sources, seed), ["no", "block"])
+    # the slots grow with the input, which Spark can't see from their few seed rows: never broadcast
+    return spans(placed).join(slots(placed.sparkSession, sources, seed).hint("merge"), ["no", "block"])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
