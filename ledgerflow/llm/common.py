@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and an executor's loss costs no more than a task."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lf-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

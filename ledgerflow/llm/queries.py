@@ -5,12 +5,14 @@ from __future__ import annotations
 from ledgerflow.llm.mixing import op10_mix_sources
 from ledgerflow.llm.quality import op9_quality_rules
 from ledgerflow.llm.simhash import op4_simhash
+from ledgerflow.llm.substrings import op2_substring_dedup
 from ledgerflow.llm.token_counts import op6_token_counts
 from ledgerflow.llm.topk import ORACLE as TOPK_SQL
 from ledgerflow.llm.topk import op7_top_k
 from ledgerflow.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_url_filters": op8_url_filters,
     "op4_simhash": op4_simhash,
     "op9_quality_rules": op9_quality_rules,
