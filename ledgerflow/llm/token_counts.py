@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerflow.llm.common import table, text_bytes
+from ledgerflow.llm.common import table, text_bytes, written
 
 #: Lengths in one block of the two-level sums.
-BLOCK = 1024
+BLOCK = 64
 _encoders: dict[str, object] = {}
 
 
@@ -118,4 +118,5 @@ def at_limit(hist: DataFrame, limit: int) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct encoded length of all documents as a context limit."""
-    return context_limits(histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    hist = histogram(encoded_lengths(table(spark, sf_dir, "documents")))
+    return context_limits(written(hist, "lengths"))  # read twice
