@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerflow.llm.archives import ORACLE as WARC_SQL
+from ledgerflow.llm.archives import op1_legacy_archives
 from ledgerflow.llm.mixing import op10_mix_sources
 from ledgerflow.llm.quality import op9_quality_rules
 from ledgerflow.llm.simhash import op4_simhash
@@ -12,6 +14,7 @@ from ledgerflow.llm.topk import op7_top_k
 from ledgerflow.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op1_legacy_archives": op1_legacy_archives,
     "op2_substring_dedup": op2_substring_dedup,
     "op8_url_filters": op8_url_filters,
     "op4_simhash": op4_simhash,
@@ -20,4 +23,4 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLES = {"op7_top_k": TOPK_SQL}
+ORACLES = {"op1_legacy_archives": WARC_SQL, "op7_top_k": TOPK_SQL}
