@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerflow.llm.archives import ORACLE as WARC_SQL
 from ledgerflow.llm.archives import op1_legacy_archives
+from ledgerflow.llm.language_model import op5_language_model
 from ledgerflow.llm.mixing import op10_mix_sources
 from ledgerflow.llm.quality import op9_quality_rules
 from ledgerflow.llm.simhash import op4_simhash
@@ -14,6 +15,7 @@ from ledgerflow.llm.topk import op7_top_k
 from ledgerflow.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op5_language_model": op5_language_model,
     "op1_legacy_archives": op1_legacy_archives,
     "op2_substring_dedup": op2_substring_dedup,
     "op8_url_filters": op8_url_filters,
