@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
+#: Bounds what a Python worker holds of long texts at once.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,7 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and an executor's loss costs no more than a task."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lf-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_BYTES[0])
+    spark.conf.set(*BATCH_BYTES)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES[0], before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, written
 
-SPAN, K, CHUNK_WORDS = 20, 6, 1_000_000
+SPAN, K, CHUNK_WORDS = 20, 6, 400_000
 _MOST = np.uint64(2**64 - 1)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
