@@ -72,6 +72,13 @@ def id_key(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
 
 
+def with_n_chars(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with n_chars, where it has that column, as its texts have them now."""
+    if "n_chars" not in df.columns:
+        return df
+    return df.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
+
+
 def n_words(c: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(c), F.lit("")), F.lit(WORD)).cast("long")
 

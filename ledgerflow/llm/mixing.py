@@ -18,14 +18,16 @@ without words has target 0; an empty table gives no row; extra columns are ignor
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerflow.llm.common import n_words, table, written
+from ledgerflow.llm.common import id_key, n_words, table, text_hash, with_n_chars, written
 
 #: Words in a block, and slots of a shard.
 BLOCK = 64
@@ -110,10 +112,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     """The documents' places in their sources' streams, and the sources with size, target, blocks and slots.
 
     Sources are collected to the driver: they number as the corpora that are mixed, not as their documents."""
-    base = docs.select("doc_id", F.col(source).alias("source"), n_words(text).alias("size"))
+    base = docs.select("doc_id", F.col(source).alias("source"), n_words(text).alias("size"), id_key().alias("k1"), text_hash(text).alias("k2"))
     n = docs.select(F.lit(1)).count()
     pieces = max(64, -(-n // PIECE_DOCS))
-    base = written(base.withColumn("piece", F.pmod(F.xxhash64("doc_id", "size"), F.lit(pieces)).cast("int")), "mix-sizes")
+    base = written(base.withColumn("piece", F.pmod(F.xxhash64("k1", "size"), F.lit(pieces)).cast("int")), "mix-sizes")
     per = written(base.groupBy("source", "piece").agg(F.sum("size").alias("words")), "mix-pieces")
     found = sorted(((r.source, int(r.words)) for r in per.groupBy("source").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     target = targets_for([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], share * sum(s for _, s in found), most)
@@ -122,14 +124,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         blocks = -(-size // BLOCK)
         sources.append({"no": i, "source": name, "size": size, "target": t, "blocks": blocks, "slots": min(int(most) * blocks, round(t / size * blocks)) if size else 0})
     dim = _dimension(docs.sparkSession, sources)
-    within = W.partitionBy("piece", "source").orderBy("doc_id", "size")
+    within = W.partitionBy("piece", "source").orderBy("k1", "size", "k2")
     placed = base.repartition(F.col("piece")).withColumn("_end", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)))
     offsets = per.withColumn("_from", F.sum("words").over(W.partitionBy("source").orderBy("piece")) - F.col("words"))
     offsets = offsets.select(F.col("source").alias("_s"), F.col("piece").alias("_p"), "_from")
     placed = placed.join(offsets, (F.col("piece") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
     placed = placed.join(F.broadcast(dim.select(F.col("source").alias("_t"), "no", "source_size", "target")), F.col("source").eqNullSafe(F.col("_t")))
     start = F.col("_from") + F.col("_end") - F.col("size")
-    return placed.select("doc_id", "source", "no", "size", "source_size", "target", start.alias("start")), sources
+    return placed.select("doc_id", "k1", "k2", "source", "no", "size", "source_size", "target", start.alias("start")), sources
 
 
 def _dimension(spark: SparkSession, sources: list[dict]) -> DataFrame:
@@ -165,7 +167,7 @@ def spans(placed: DataFrame) -> DataFrame:
     cut = placed.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * BLOCK)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return cut.select("doc_id", "no", "size", "start", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("length"))
+    return cut.select("doc_id", "k1", "k2", "no", "size", "start", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("length"))
 
 
 def mixed(placed: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame:
@@ -174,6 +176,45 @@ def mixed(placed: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame
     return spans(placed).join(slots(placed.sparkSession, sources, seed).hint("merge"), ["no", "block"])
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def excerpt(text: str, parts: list[tuple[int, int]]) -> str:
+    """The words of parts (first, length) as they stand in text; parts that don't touch are joined by a line end."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    runs: list[list[int]] = []
+    for first, length in sorted(parts):
+        if runs and runs[-1][1] == first:
+            runs[-1][1] = first + length
+        else:
+            runs.append([first, first + length])
+    if runs == [[0, len(at)]]:
+        return text
+    return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in runs)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix as documents: for each document and epoch the words taken, with the document's other columns (n_chars, if
+    there, counts the new text). Rows with equal doc_id and text are told apart by their place in the stream alone."""
+    placed, sources = plan(docs, text=text, source=source, **how)
+    rows = mixed(written(placed, "mix-placed"), sources).groupBy("k1", "k2", "start", "epoch")
+    rows = rows.agg(F.collect_list(F.struct(F.col("first").cast("int"), F.col("length").cast("int"))).alias("_parts"))
+    rows = rows.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_parts").hint("merge")
+    texts = docs.withColumns({"_d1": id_key(), "_d2": text_hash(text)}).dropDuplicates(["_d1", "_d2"])
+    rows = texts.join(rows, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*[F.col(c) for c in docs.columns], "_parts")
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            cols = b.columns[:-1]
+            parts = [[(p["first"], p["length"]) for p in x] for x in b.column(b.num_columns - 1).to_pylist()]
+            new = [excerpt(t, p) for t, p in zip(cols[at].to_pylist(), parts)]
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+
+    return with_n_chars(rows.mapInArrow(run, docs.schema), text)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document: doc_id, size, source_size, target, taken."""
     placed, sources = plan(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from ledgerflow.llm.archives import ORACLE as WARC_SQL
 from ledgerflow.llm.archives import op1_legacy_archives
 from ledgerflow.llm.language_model import op5_language_model
 from ledgerflow.llm.mixing import op10_mix_sources
+from ledgerflow.llm.pieces import op3_sentencepiece
 from ledgerflow.llm.quality import op9_quality_rules
 from ledgerflow.llm.simhash import op4_simhash
 from ledgerflow.llm.substrings import op2_substring_dedup
@@ -15,6 +16,7 @@ from ledgerflow.llm.topk import op7_top_k
 from ledgerflow.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_language_model": op5_language_model,
     "op1_legacy_archives": op1_legacy_archives,
     "op2_substring_dedup": op2_substring_dedup,

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, written
+from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, with_n_chars, written
 
 SPAN, K, CHUNK_WORDS = 20, 6, 400_000
 _MOST = np.uint64(2**64 - 1)
@@ -305,7 +305,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
                 cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
 
-    return rows.mapInArrow(run, docs.schema)
+    return with_n_chars(rows.mapInArrow(run, docs.schema), text)
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
