@@ -198,11 +198,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     there, counts the new text). Rows with equal doc_id and text are told apart by their place in the stream alone."""
     placed, sources = plan(docs, text=text, source=source, **how)
     rows = mixed(written(placed, "mix-placed"), sources).groupBy("k1", "k2", "start", "epoch")
-    rows = rows.agg(F.collect_list(F.struct(F.col("first").cast("int"), F.col("length").cast("int"))).alias("_parts"))
+    rows = rows.agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("length").cast("int").alias("length"))).alias("_parts"))
     rows = rows.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_parts").hint("merge")
     texts = docs.withColumns({"_d1": id_key(), "_d2": text_hash(text)}).dropDuplicates(["_d1", "_d2"])
     rows = texts.join(rows, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*[F.col(c) for c in docs.columns], "_parts")
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -210,7 +210,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
             parts = [[(p["first"], p["length"]) for p in x] for x in b.column(b.num_columns - 1).to_pylist()]
             new = [excerpt(t, p) for t, p in zip(cols[at].to_pylist(), parts)]
             cols[at] = pa.array(new, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return with_n_chars(rows.mapInArrow(run, docs.schema), text)
 

@@ -295,7 +295,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     lost = lost_windows(suspects(docs, drawn(docs, text), text))
     rows = _keyed(docs, text).join(lost.withColumnRenamed("lost", "_lost").hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     rows = rows.select(*[F.col(c) for c in docs.columns], "_lost")
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -303,7 +303,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
             if lists.null_count < len(lists):
                 texts = [t if x is None else without((t or "").encode(), x).decode() for t, x in zip(cols[at].to_pylist(), lists.to_pylist())]
                 cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return with_n_chars(rows.mapInArrow(run, docs.schema), text)
 
