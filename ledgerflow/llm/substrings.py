@@ -6,7 +6,7 @@ alone, so equal windows have equal anchors). 1. Anchors meet by hash; those with
 occurrence are unique paths and go. 2. Joined back to their documents, repeated
 anchors select the windows that may repeat, and runs of them are the graph's
 nonbranching paths, kept as source coordinates (document, first word) in one
-packed row. 3. Windows meet by a 128-bit hash of all their words; all but the
+packed row. 3. Windows meet by their anchor's and a hash of all their words; all but the
 earliest occurrence are duplicates. 4. Their coordinates go back to the documents.
 
 Each task first settles what repeats inside a chunk of CHUNK_WORDS words and sends one
@@ -29,6 +29,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ from pyspark.sql import types as T
 from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, with_n_chars, written
 
 SPAN, K, CHUNK_WORDS = 20, 6, 400_000
+NO_ID = -(2**63)
 _MOST = np.uint64(2**64 - 1)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -45,12 +47,30 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_k1": id_key(), "_k2": text_hash(text)})
 
 
-def _chunks(batches, at: int):
+def _packed(at: int):
+    """Batches with column at (binary, texts) compressed: they are moved twice, and Spark's own codec does half as well."""
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(3)
+        for b in batches:
+            cols = b.columns
+            cols[at] = pa.array([None if t is None else z.compress(t) for t in cols[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return run
+
+
+def _opened(blobs: list[bytes | None]) -> list[bytes | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if t is None else z.decompress(t) for t in blobs]
+
+
+def _chunks(batches, at: int, unpack: bool = False):
     """Columns of rows with about CHUNK_WORDS words, as lists; at: the text's column."""
     rows: list[list] | None = None
     size = 0
     for b in batches:
-        cols = [c.to_pylist() if i == at else c for i, c in enumerate(b.columns)]
+        cols = [(_opened(c.to_pylist()) if unpack else c.to_pylist()) if i == at else c for i, c in enumerate(b.columns)]
         start = 0
         for j, t in enumerate(cols[at]):
             size += len(t)
@@ -134,13 +154,13 @@ def _draw(batches):
 
 
 def _repeated(batches):
-    """(a, k1, k2, many), sorted by a -> (k1, k2, a) of rows whose a has another row, or many."""
+    """(a, g, many), sorted by a -> (g, a) of rows whose a has another row, or many."""
     flagged, pending = None, None
     for b in batches:
-        a, k1, k2 = (b.column(i).to_numpy() for i in range(3))
-        many = b.column(3).to_numpy(zero_copy_only=False)
+        a, g = (b.column(i).to_numpy() for i in range(2))
+        many = b.column(2).to_numpy(zero_copy_only=False)
         if pending is not None:
-            a, k1, k2, many = (np.concatenate([[p], c]) for p, c in zip(pending, (a, k1, k2, many)))
+            a, g, many = (np.concatenate([[p], c]) for p, c in zip(pending, (a, g, many)))
         if not len(a):
             continue
         new = np.concatenate([[True], a[1:] != a[:-1]])
@@ -153,14 +173,14 @@ def _repeated(batches):
         if flag[-1]:
             flagged, pending = a[-1], None
         else:
-            flagged, pending = None, (a[-1], k1[-1], k2[-1], many[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (k1, k2, a)], names=["k1", "k2", "a"])
+            flagged, pending = None, (a[-1], g[-1], many[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (g, a)], names=["g", "a"])
 
 
 def _windows(batches):
-    """(k1, k2, anchors, text) -> windows to compare (h1, h2, k1, k2, pos), one for each sequence of a chunk, and packed
-    rows of windows that already repeat one in their chunk (lost)."""
-    for k1, k2, anchors, texts in _chunks(batches, 3):
+    """(k1, k2, anchors, packed text) -> paths of windows to compare (a, k1, k2, pos, hashes), neighbours with one anchor in
+    a row, each sequence of a chunk once; and the windows that already repeat one in their chunk (lost)."""
+    for k1, k2, anchors, texts in _chunks(batches, 3, unpack=True):
         w = _Words(texts)
         at, a, _ = w.anchors()
         k1, k2, n = k1.to_numpy(), k2.to_numpy(), len(texts)
@@ -169,40 +189,49 @@ def _windows(batches):
         # (document, anchor) pairs in question, as one number each; a false agreement only adds a window to compare
         pair = lambda d, x: mix64(x ^ mix64(d.astype(np.uint64) + np.uint64(1)))
         on = np.isin(pair(w.doc[at], a), pair(np.repeat(np.arange(n), size), wanted)) if len(at) else np.zeros(0, bool)
-        at = at[on]
+        at, a = at[on], a[on]
         if not len(at):
             continue
-        h1, h2 = w.rolled(SPAN, _P1)[at], w.rolled(SPAN, _P2)[at]
+        h = w.rolled(SPAN, _P2)[at]
         doc = w.doc[at]
-        pos = (at - w.starts[doc]).astype(np.int64)
+        pos = at - w.starts[doc]
         rank = np.empty(n, np.int64)
         order = np.lexsort((k2, k1))
         rank[order] = np.cumsum(np.concatenate([[0], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]))
         when = (rank[doc] << 32) | pos
-        order = np.lexsort((when, h2, h1))
-        h1, h2, doc, pos, when = h1[order], h2[order], doc[order], pos[order], when[order]
-        lead = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        first = when[np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))]
-        lost = when != first
-        m = int(lead.sum())
+        order = np.lexsort((when, h, a))
+        lead = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        first = when[order][np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))]
+        sent, lost = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        sent[order] = lead
+        lost[order] = when[order] != first
+        d, p, x, y = doc[sent], pos[sent], a[sent], h[sent]
+        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (x[1:] != x[:-1])]))
+        ends = np.append(start, len(p)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_signed(h1[lead])), pa.array(_signed(h2[lead])), pa.array(k1[doc[lead]]), pa.array(k2[doc[lead]]), pa.array(pos[lead].astype(np.int32)), pa.nulls(m, pa.list_(pa.int32()))],
-            names=["h1", "h2", "k1", "k2", "pos", "lost"],
+            [pa.array(_signed(x[start])), pa.array(k1[d[start]]), pa.array(k2[d[start]]), pa.array(p[start].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(y))), pa.nulls(len(start), pa.list_(pa.int32()))],
+            names=["a", "k1", "k2", "pos", "hashes", "lost"],
         )
         if lost.any():
             d, p = doc[lost], pos[lost].astype(np.int32)
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
             ids = np.unique(d)
             spread = _signed(mix64(k2[ids].view(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(np.zeros(len(ids), np.int64)), pa.array(k1[ids]), pa.array(k2[ids]), pa.array(np.full(len(ids), -1, np.int32)), _lists(p, np.searchsorted(ids, d), len(ids), pa.int32())],
-                names=["h1", "h2", "k1", "k2", "pos", "lost"],
+                [pa.array(spread), pa.array(k1[ids]), pa.array(k2[ids]), pa.array(np.full(len(ids), -1, np.int32)), pa.nulls(len(ids), pa.list_(pa.int64())), _lists(p, np.searchsorted(ids, d), len(ids), pa.int32())],
+                names=["a", "k1", "k2", "pos", "hashes", "lost"],
             )
 
 
+def _by_document(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((pos, k2, k1))
+    k1, k2, pos = k1[order], k2[order], pos[order]
+    start = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+    ends = np.append(start, len(pos)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(k1[start]), pa.array(k2[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))], names=["k1", "k2", "lost"])
+
+
 def _later(batches):
-    """Windows sorted by (h1, h2, k1, k2, pos) -> (k1, k2, lost) of all but the earliest of each sequence."""
+    """Windows sorted by (a, h, k1, k2, pos) -> (k1, k2, lost) of all but the earliest of each sequence."""
     head = None
     for b in batches:
         packed = pa.compute.is_valid(b.column(5))
@@ -212,8 +241,8 @@ def _later(batches):
         b = b.filter(pa.compute.invert(packed))
         if not b.num_rows:
             continue
-        h1, h2, k1, k2, pos = (b.column(i).to_numpy() for i in range(5))
-        lead = np.concatenate([[head is None or (h1[0], h2[0]) != head[:2]], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        a, h, k1, k2, pos = (b.column(i).to_numpy() for i in range(5))
+        lead = np.concatenate([[head is None or (a[0], h[0]) != head[:2]], (a[1:] != a[:-1]) | (h[1:] != h[:-1])])
         source = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), -1))
         lost = np.ones(len(lead), bool)
         own = source >= 0
@@ -224,10 +253,9 @@ def _later(batches):
             lost[rest] = (k1[rest] != head[2]) | (k2[rest] != head[3]) | (pos[rest] != head[4])
         if own[-1]:
             i = source[-1]
-            head = (h1[i], h2[i], k1[i], k2[i], pos[i])
+            head = (a[i], h[i], k1[i], k2[i], pos[i])
         if lost.any():
-            p = pos[lost]
-            yield pa.RecordBatch.from_arrays([pa.array(k1[lost]), pa.array(k2[lost]), pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32)), pa.array(p))], names=["k1", "k2", "lost"])
+            yield _by_document(k1[lost], k2[lost], pos[lost])
 
 
 def drawn(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -239,23 +267,28 @@ def drawn(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def suspects(docs: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame:
-    """k1, k2, anchors, text of the documents with repeated anchors, as a written table."""
-    met = edges.select(F.explode("once").alias("a"), "k1", "k2", F.lit(0).alias("many"))
-    met = met.union(edges.select(F.explode("many").alias("a"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(1)))
-    replies = met.repartition("a").sortWithinPartitions("a").mapInArrow(_repeated, "k1 long, k2 long, a long")
-    flagged = replies.groupBy("k1", "k2").agg(F.collect_list("a").alias("anchors"))
-    flagged = flagged.union(edges.filter(F.size("own") > 0).select("k1", "k2", F.col("own").alias("anchors")))
-    flagged = flagged.groupBy("k1", "k2").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    rows = _keyed(docs, text).select("_k1", "_k2", text_bytes(text).alias("text"))
-    joined = rows.join(flagged.hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    """k1, k2, anchors, text (packed) of the documents with repeated anchors, as a written table. Up to here documents go by
+    g, their id or, without one, their text's hash: should some share an id, they are only compared at more places."""
+    g = F.when(F.col("k1") == NO_ID, F.col("k2")).otherwise(F.col("k1")).alias("g")
+    met = edges.select(F.explode("once").alias("a"), g, F.lit(False).alias("many"))
+    met = met.union(edges.select(F.explode("many").alias("a"), F.lit(0).cast("long"), F.lit(True)))
+    replies = met.repartition("a").sortWithinPartitions("a").mapInArrow(_repeated, "g long, a long")
+    flagged = replies.groupBy("g").agg(F.collect_list("a").alias("anchors"))
+    flagged = flagged.union(edges.filter(F.size("own") > 0).select(g, F.col("own").alias("anchors")))
+    flagged = flagged.groupBy("g").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    rows = _keyed(docs, text).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text_bytes(text).alias("text"))
+    rows = rows.mapInArrow(_packed(2), "k1 long, k2 long, text binary").withColumn("_g", g)
+    joined = rows.join(flagged.hint("merge"), F.col("_g") == F.col("g"))
     return written(joined.select("k1", "k2", "anchors", "text"), "substrings-suspects")
 
 
 def lost_windows(found: DataFrame) -> DataFrame:
     """k1, k2, lost: the first words of a document's windows that also start earlier. found: as of suspects()."""
-    rows = found.mapInArrow(_windows, "h1 long, h2 long, k1 long, k2 long, pos int, lost array<int>")
-    rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "k1", "k2", "pos")
-    late = rows.mapInArrow(_later, "k1 long, k2 long, lost array<int>")
+    rows = found.mapInArrow(_windows, "a long, k1 long, k2 long, pos int, hashes array<long>, lost array<int>").repartition("a")
+    # paths move packed and are spread into windows where they meet
+    rows = rows.select("a", "k1", "k2", "pos", "lost", F.posexplode_outer("hashes").alias("i", "h"))
+    rows = rows.select("a", "h", "k1", "k2", (F.col("pos") + F.coalesce("i", F.lit(0))).alias("pos"), "lost")
+    late = rows.sortWithinPartitions("a", "h", "k1", "k2", "pos").mapInArrow(_later, "k1 long, k2 long, lost array<int>")
     return late.groupBy("k1", "k2").agg(F.flatten(F.collect_list("lost")).alias("lost"))
 
 
@@ -270,7 +303,7 @@ def _covered(lost, n: int) -> np.ndarray:
 def _digest(batches):
     for b in batches:
         n_removed, sha = [], []
-        for lost, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+        for lost, t in zip(b.column(3).to_pylist(), _opened(b.column(4).to_pylist())):
             words = t.split()
             gone = _covered(lost, len(words))
             n_removed.append(int(gone.sum()))
@@ -293,19 +326,22 @@ def without(text: bytes, lost) -> bytes:
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, their texts without words that repeat earlier ones; texts without such words are as they were."""
     lost = lost_windows(suspects(docs, drawn(docs, text), text))
-    rows = _keyed(docs, text).join(lost.withColumnRenamed("lost", "_lost").hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
-    rows = rows.select(*[F.col(c) for c in docs.columns], "_lost")
     names, at = docs.columns, docs.columns.index(text)
+    rows = _keyed(docs, text)
+    packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema])
+    rows = rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(_packed(at), packed)
+    rows = rows.join(lost.withColumnRenamed("lost", "_lost").hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    rows = rows.select(*[F.col(c) for c in names], "_lost")
+    kind = docs.schema
 
     def run(batches):
         for b in batches:
-            cols, lists = b.columns[:-1], b.column(b.num_columns - 1)
-            if lists.null_count < len(lists):
-                texts = [t if x is None else without((t or "").encode(), x).decode() for t, x in zip(cols[at].to_pylist(), lists.to_pylist())]
-                cols[at] = pa.array(texts, b.schema.field(at).type)
+            cols, lists = b.columns[:-1], b.column(b.num_columns - 1).to_pylist()
+            texts = [t if t is None or x is None else without(t, x) for t, x in zip(_opened(cols[at].to_pylist()), lists)]
+            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return with_n_chars(rows.mapInArrow(run, docs.schema), text)
+    return with_n_chars(rows.mapInArrow(run, kind), text)
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
