@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut where no piece can span: before a run of word marks, and between two
-characters that no piece has side by side. What is left, its units, are encoded each on
-its own. Frequent units (at least N / HEAD of all N, so at most HEAD of them) make the
-lattice: their substrings of at most the longest piece's length are exploded, joined
+A text is cut where no piece can span: before a run of word marks, and around line ends
+and tabs. What is left, its units, are encoded each on its own. Frequent units (at least
+N / HEAD of all N, so at most HEAD of them) make the lattice: their substrings of at most the longest piece's length are exploded, joined
 to the piece table, and the edges grouped by unit. A higher-order aggregate folds each
 unit's edges: for unigram models it is the Viterbi recursion; for BPE models, whose
 ids the best path does not give, each step takes the merge that the model scores
@@ -34,9 +33,8 @@ from ledgerflow.llm.common import table, text_bytes, written
 from ledgerflow.llm.token_counts import vocabulary
 
 MARK = "▁"
-HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 21, 60, 4_000_000, 300_000
+HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 23, 60, 12_000_000, 200_000
 UNKNOWN_PENALTY = 10.0
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
@@ -59,7 +57,9 @@ class Pieces:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN)
         self.longest = max(map(len, self.pieces))
-        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        inside = {c for p in self.pieces for c in p}
+        apart = "".join(c for c in "\n\r\t" if c not in inside)
+        self.unit = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + f"|[{apart}]+" * bool(apart))
         if any(p.lstrip(MARK).find(MARK) >= 0 for p in self.pieces):
             raise ValueError("a piece has a word mark after other characters")
         self.out = [b""] * len(m.pieces)
@@ -71,14 +71,8 @@ class Pieces:
         self.lowest = min((s for _, s in self.pieces.values()), default=0.0)
         self._known: dict[str, list[int]] = {}
 
-    def cut(self, unit: str) -> list[str]:
-        out, at = [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in self.pairs:
-                out.append(unit[at:i])
-                at = i
-        out.append(unit[at:])
-        return out
+    def units(self, text: str) -> list[str]:
+        return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out = []
@@ -101,17 +95,17 @@ class Pieces:
         get = self.pieces.get
         if get(unit) and len(unit) == 1:
             return [unit]
-        if len(unit) <= 24:
-            parts = list(unit)
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    p = get(parts[i] + parts[i + 1])
-                    if p and (best is None or p[1] > best):
-                        best, at = p[1], i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(unit) <= 48:
+            parts, low = list(unit), -1e30
+            score = [p[1] if (p := get(a + b)) else low for a, b in zip(parts, parts[1:])]
+            while score and (best := max(score)) > low:
+                i = score.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del score[i]
+                if i < len(score):
+                    score[i] = p[1] if (p := get(parts[i] + parts[i + 1])) else low
+                if i:
+                    score[i - 1] = p[1] if (p := get(parts[i - 1] + parts[i])) else low
             return parts
         parts, after, before = list(unit), [*range(1, len(unit)), -1], [-1, *range(len(unit) - 1)]
         heap: list[tuple[float, int, str]] = []
@@ -158,10 +152,6 @@ def pieces_at(path: str) -> Pieces:
     return _loaded[path]
 
 
-def units_of(text: str) -> list[str]:
-    return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
 def _texts(batches, at: int):
     for b in batches:
         start = size = 0
@@ -179,13 +169,9 @@ def unit_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         p = pieces_at(path)
         for _, texts in _texts(batches, 0):
-            forms: Counter[str] = Counter()
-            for t in texts:
-                forms.update(units_of(t))
             units: Counter[str] = Counter()
-            for f, n in forms.items():
-                for u in p.cut(f):
-                    units[u] += n
+            for t in texts:
+                units.update(p.units(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
     return docs.select(text_bytes(text).alias("_text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -261,40 +247,43 @@ def folded(lattices: DataFrame, path: str) -> DataFrame:
     return rows.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - 2), ids)).alias("ids"))
 
 
-def frequent(docs: DataFrame, path: str, text: str = "text") -> dict[str, list[int]]:
-    """The ids of the frequent units, of the lattice."""
+def frequent(docs: DataFrame, path: str, text: str = "text") -> pa.Table:
+    """unit and ids of the frequent units, of the lattice."""
     counts = written(unit_counts(docs, path, text), "pieces-units")
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter((F.col("n") * HEAD >= total) & (F.length("unit") <= MASK_CHARS))
     # spread by number, which Spark doesn't coalesce: the lattice has some fifty rows for each unit
     often = often.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
-    return {r.unit: r.ids for r in folded(lattice(often, path), path).collect()}
+    return folded(lattice(often, path), path).toArrow()
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, and round_trip: whether the ids decode to the text."""
     path = path or vocabulary("piece_bpe_32k.model")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(docs, path, text))
+    shared = spark.sparkContext.broadcast(frequent(docs, path, text).combine_chunks())
 
     def run(batches):
         p, often = pieces_at(path), shared.value
+        known = often.column("unit").combine_chunks().cast(pa.string())
+        known_ids = often.column("ids").combine_chunks()
+        known_at, known_flat = known_ids.offsets.to_numpy(), known_ids.values.to_numpy()
         for b, texts in _texts(batches, 1):
             code: dict[str, int] = {}
             flat, counts = [], np.empty(len(texts), np.int64)
             for i, t in enumerate(texts):
-                u = units_of(t)
+                u = p.units(t)
                 counts[i] = len(u)
                 flat += [code.setdefault(x, len(code)) for x in u]
-            form_ids, size = [], np.empty(len(code), np.int64)
-            for k, f in enumerate(code):
-                ids: list[int] = []
-                for u in p.cut(f):
-                    ids += often.get(u) or p.fold(u)
-                form_ids.append(ids)
-                size[k] = len(ids)
-            table_ = np.fromiter((i for ids in form_ids for i in ids), np.int32, int(size.sum()))
-            at = np.cumsum(size) - size
+            units = list(code)
+            found = pa.compute.index_in(pa.array(units, pa.string()), known).fill_null(-1).to_numpy(zero_copy_only=False)
+            rare = np.flatnonzero(found < 0)
+            folds = [p.fold(units[k]) for k in rare]
+            size = np.where(found >= 0, known_at[found + 1] - known_at[found], 0) if len(known) else np.zeros(len(units), np.int64)
+            size[rare] = [len(x) for x in folds]
+            at = np.where(found >= 0, known_at[found], 0) if len(known) else np.zeros(len(units), np.int64)
+            at[rare] = len(known_flat) + np.cumsum(size[rare]) - size[rare]
+            table_ = np.concatenate([known_flat, np.fromiter((i for x in folds for i in x), np.int32, int(size[rare].sum()))]).astype(np.int32)
             c = np.array(flat, np.int64)
             lengths = size[c] if len(c) else np.empty(0, np.int64)
             ends = np.cumsum(lengths)
