@@ -330,7 +330,8 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = _keyed(docs, text)
     packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema])
     rows = rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(_packed(at), packed)
-    rows = rows.join(lost.withColumnRenamed("lost", "_lost").hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    lost = lost.select(F.col("k1").alias("_l1"), F.col("k2").alias("_l2"), F.col("lost").alias("_lost")).hint("merge")
+    rows = rows.join(lost, (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")), "left")
     rows = rows.select(*[F.col(c) for c in names], "_lost")
     kind = docs.schema
 
