@@ -12,7 +12,9 @@ MONTHS = {
     "сентябрь": 9, "сентября": 9, "октябрь": 10, "октября": 10, "ноябрь": 11, "ноября": 11, "декабрь": 12, "декабря": 12,
 }
 
-DAY_FIRST = ("d.M.yyyy", "d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d.M.yyyy H:m:s", "d.M.yyyy H:m", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d.M.yy")
+_TIME = r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
+DAY_FIRST = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})" + _TIME
+YEAR_FIRST = r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})" + _TIME
 
 
 def as_date(c: Column) -> Column:
@@ -39,20 +41,33 @@ def month_of_text(c: Column, fmt: str = "dd.MM.yyyy") -> Column:
 def parse_date(c: Column, strict: bool = True) -> Column:
     """Day-first dates, "<month> <year>" and "<day> <month> <year>" with Russian month names; blank is null.
     What else there is raises, or is null if not strict."""
-    s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    plain = F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DAY_FIRST])
-    norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), r"(?<![а-яё])г\.?(?![а-яё])", ""), r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
     names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    pattern = r"^(?:(\d{1,2}) )?([а-яё]+) (\d{4})$"
-    day = F.coalesce(F.nullif(F.regexp_extract(norm, pattern, 1), F.lit("")).cast("int"), F.lit(1))
-    month = F.try_element_at(names, F.regexp_extract(norm, pattern, 2))
-    year = F.nullif(F.regexp_extract(norm, pattern, 3), F.lit("")).cast("int")
-    named = F.call_function("try_to_date", F.concat_ws("-", year, month, day), F.lit("yyyy-M-d"))
-    found = F.coalesce(plain, F.when(month.isNotNull() & year.isNotNull(), named))
-    if not strict:
-        return found
-    bad = F.raise_error(F.concat(F.lit("cannot read a date from "), s)).cast("date")
-    return F.when(c.isNull() | (s == ""), F.lit(None).cast("date")).otherwise(F.coalesce(found, bad))
+    named = r"^(?:(\d{1,2}) )?([а-яё]+) (\d{4})$"
+    part = lambda of, pattern, i: F.nullif(F.regexp_extract(of, pattern, i), F.lit(""))
+
+    def in_words(n: Column) -> Column:
+        return F.when(F.rlike(n, F.lit(named)), F.concat(part(n, named, 3), F.lit("-"), F.try_element_at(names, part(n, named, 2)).cast("string"), F.lit("-"), F.coalesce(part(n, named, 1), F.lit("1"))))
+
+    def parts(s: Column) -> Column:
+        norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), r"(?<![а-яё])г\.?(?![а-яё])", ""), r"\s+", " "), r"^[ .]+|[ .]+$", "")
+        year = F.regexp_replace(part(s, DAY_FIRST, 3), r"^(\d\d)$", "20$1")
+        day_first = F.concat_ws("-", year, part(s, DAY_FIRST, 2), part(s, DAY_FIRST, 1))
+        year_first = F.concat_ws("-", part(s, YEAR_FIRST, 1), part(s, YEAR_FIRST, 2), part(s, YEAR_FIRST, 3))
+        return F.when(F.rlike(s, F.lit(DAY_FIRST)), day_first).when(F.rlike(s, F.lit(YEAR_FIRST)), year_first).otherwise(_let(norm, in_words))
+
+    def read(s: Column) -> Column:
+        # a text is of one form at most and is parsed once: failed parses cost exceptions
+        found = F.call_function("try_to_date", parts(s), F.lit("yyyy-M-d"))
+        if strict:
+            found = F.coalesce(found, F.raise_error(F.concat(F.lit("cannot read a date from "), s)).cast("date"))
+        return F.when(s.isNull() | (s == ""), F.lit(None).cast("date")).otherwise(found)
+
+    return _let(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), read)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
