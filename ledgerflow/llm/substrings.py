@@ -231,31 +231,46 @@ def _by_document(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBa
 
 
 def _later(batches):
-    """Windows sorted by (a, h, k1, k2, pos) -> (k1, k2, lost) of all but the earliest of each sequence."""
-    head = None
+    """Windows sorted by h -> (k1, k2, lost) of all but the earliest of each sequence (h, a). Of a sequence that goes on in
+    the next batch the earliest so far is kept, so any number of copies streams through."""
+    heads: dict[int, tuple] = {}
+    last = None
     for b in batches:
         packed = pa.compute.is_valid(b.column(5))
         whole = b.filter(packed)
         if whole.num_rows:
             yield pa.RecordBatch.from_arrays([whole.column(2), whole.column(3), whole.column(5)], names=["k1", "k2", "lost"])
-        b = b.filter(pa.compute.invert(packed))
+            b = b.filter(pa.compute.invert(packed))
         if not b.num_rows:
             continue
-        a, h, k1, k2, pos = (b.column(i).to_numpy() for i in range(5))
-        lead = np.concatenate([[head is None or (a[0], h[0]) != head[:2]], (a[1:] != a[:-1]) | (h[1:] != h[:-1])])
-        source = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), -1))
-        lost = np.ones(len(lead), bool)
-        own = source >= 0
-        s = source[own]
-        lost[own] = (k1[own] != k1[s]) | (k2[own] != k2[s]) | (pos[own] != pos[s])
-        if not own.all():
-            rest = ~own
-            lost[rest] = (k1[rest] != head[2]) | (k2[rest] != head[3]) | (pos[rest] != head[4])
-        if own[-1]:
-            i = source[-1]
-            head = (a[i], h[i], k1[i], k2[i], pos[i])
-        if lost.any():
-            yield _by_document(k1[lost], k2[lost], pos[lost])
+        cols = [b.column(i).to_numpy() for i in range(5)]
+        order = np.lexsort((cols[4], cols[3], cols[2], cols[0], cols[1]))
+        a, h, k1, k2, pos = (c[order] for c in cols)
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1])]))
+        source = np.repeat(first, np.diff(np.append(first, len(a))))
+        b1, b2, bp = k1[source], k2[source], pos[source]
+        late: list[tuple] = []
+        if h[0] == last:
+            for i, end in zip(first, np.append(first[1:], len(a))):
+                if h[i] != last:
+                    break
+                own, best = (k1[i], k2[i], pos[i]), heads.get(a[i])
+                if best is not None and best < own:
+                    b1[i:end], b2[i:end], bp[i:end] = best
+                elif best is not None and own < best:
+                    late.append(best)
+        else:
+            heads = {}
+        if h[-1] != last:
+            heads, last = {}, h[-1]
+        for i in reversed(first):
+            if h[i] != last:
+                break
+            heads[a[i]] = (b1[i], b2[i], bp[i])
+        lost = (k1 != b1) | (k2 != b2) | (pos != bp)
+        if late or lost.any():
+            more = np.array(late, np.int64).reshape(-1, 3)
+            yield _by_document(*(np.concatenate([c[lost], x.astype(c.dtype)]) for c, x in zip((k1, k2, pos), more.T)))
 
 
 def drawn(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -285,10 +300,10 @@ def suspects(docs: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame
 def lost_windows(found: DataFrame) -> DataFrame:
     """k1, k2, lost: the first words of a document's windows that also start earlier. found: as of suspects()."""
     rows = found.mapInArrow(_windows, "a long, k1 long, k2 long, pos int, hashes array<long>, lost array<int>").repartition("a")
-    # paths move packed and are spread into windows where they meet
+    # paths move packed and are spread into windows where they meet; one sort key of 64 bits is sorted by radix
     rows = rows.select("a", "k1", "k2", "pos", "lost", F.posexplode_outer("hashes").alias("i", "h"))
     rows = rows.select("a", "h", "k1", "k2", (F.col("pos") + F.coalesce("i", F.lit(0))).alias("pos"), "lost")
-    late = rows.sortWithinPartitions("a", "h", "k1", "k2", "pos").mapInArrow(_later, "k1 long, k2 long, lost array<int>")
+    late = rows.sortWithinPartitions("h").mapInArrow(_later, "k1 long, k2 long, lost array<int>")
     return late.groupBy("k1", "k2").agg(F.flatten(F.collect_list("lost")).alias("lost"))
 
 
