@@ -33,7 +33,7 @@ from ledgerflow.llm.common import table, text_bytes, written
 from ledgerflow.llm.token_counts import vocabulary
 
 MARK = "▁"
-HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 23, 60, 12_000_000, 200_000
+HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 23, 60, 4_000_000, 50_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -153,14 +153,14 @@ def pieces_at(path: str) -> Pieces:
 
 
 def _texts(batches, at: int):
+    """Batches cut at about CHUNK_BYTES of text, with their texts."""
     for b in batches:
-        start = size = 0
-        texts = [t.decode("utf-8", "replace") for t in b.column(at).to_pylist()]
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size > CHUNK_BYTES or i == len(texts) - 1:
-                yield b.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        ends = np.cumsum(pa.compute.binary_length(b.column(at)).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(ends, np.arange(CHUNK_BYTES, ends[-1], CHUNK_BYTES)) + 1 if len(ends) else []
+        for x, y in zip([0, *cuts], [*cuts, b.num_rows]):
+            if y > x:
+                part = b.slice(x, y - x)
+                yield part, [t.decode("utf-8", "replace") for t in part.column(at).to_pylist()]
 
 
 def unit_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
