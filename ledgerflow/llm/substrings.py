@@ -375,3 +375,15 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 20-word windows that start earlier as well."""
     return judged(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from d),
+k as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d where len(ws) >= 20)),
+r as (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from k),
+g as (select distinct doc_id, i + j as p from r, (select unnest(range(20)) as j) where r > 1),
+s as (select w.doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(word, ' ' order by w.p) filter (g.p is null) as kept
+      from w left join g on w.doc_id = g.doc_id and w.p = g.p group by w.doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join s on d.doc_id = s.doc_id
+"""
