@@ -192,8 +192,9 @@ def validate(pipelines: list[type[Pipeline]], sources: dict[str, Source], publis
         publisher.preflight([o.table for o in published], {o.table: o.schema is not None for o in published}, {o.table: o.strategy for o in published})
 
 
-def run_pipelines(spark: SparkSession, task: str, pipelines: list[type[Pipeline]], sources: Iterable[Source] = (), publisher: Publisher | None = None, base_path: str | None = None, force: bool = False, access: fs.FileAccess | None = None) -> RunResult:
-    """One run of a task. Its status is published, done (nothing to publish) or skipped, with the reason."""
+def run_pipelines(spark: SparkSession, task: str, pipelines: list[type[Pipeline]], sources: Iterable[Source] = (), publisher: Publisher | None = None, base_path: str | None = None, force: bool = False, access: fs.FileAccess | None = None, keep_snapshots: bool = False) -> RunResult:
+    """One run of a task. Its status is published, done (nothing to publish) or skipped, with the reason. keep_snapshots: the
+    state has what each source's signature was made of."""
     known = {}
     for s in sources:
         if s.name in known:
@@ -208,7 +209,7 @@ def run_pipelines(spark: SparkSession, task: str, pipelines: list[type[Pipeline]
     try:
         with publisher.task_lock(task):
             cleaned = publisher.clean_up(task)
-            state = {n: {k: v for k, v in s.fingerprint(ctx.env).row().items() if k != "snapshot"} for n, s in sorted(active.items()) if s.fingerprint}
+            state = {n: {k: v for k, v in s.fingerprint(ctx.env).row().items() if keep_snapshots or k != "snapshot"} for n, s in sorted(active.items()) if s.fingerprint}
             before = publisher.state(task)
             if state and not force and before.keys() == state.keys() and all(before[n]["signature"] == state[n]["signature"] for n in state):
                 return RunResult("skipped", run, "sources_unchanged", cleaned=cleaned)

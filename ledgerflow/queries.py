@@ -377,3 +377,122 @@ def row_signature(spark, sf_dir):
 @query("""select o_orderpriority, max(o_orderdate) as at, max(struct_pack(d := o_orderdate, k := o_orderkey)).k as o_orderkey from orders group by 1""")
 def latest_by_key(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("r")).select("o_orderpriority", F.col("r.o_orderdate").alias("at"), F.col("r.o_orderkey").alias("o_orderkey"))
+
+
+# Sources, schemas and publication: their files stand in a temporary folder of this machine, which tasks must see.
+
+
+def _folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="ledgerflow-query-")
+
+
+def _csv(path: str, rows: list, header: list[str]) -> str:
+    import csv
+
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        w = csv.writer(f, delimiter=";")
+        w.writerow(header)
+        w.writerows(rows)
+    return path
+
+
+def _small(spark, sf_dir, name, *columns):
+    """Rows of one of the two tables whose size never changes."""
+    return [tuple(r) for r in t(spark, sf_dir, name).select(*columns).orderBy(columns[0]).collect()]
+
+
+@query("""select n_nationkey::varchar as key, n_name || chr(10) || '"x";' as name, case when n_regionkey = 2 then '' else n_regionkey::varchar end as region from nation""")
+def csv_scan(spark, sf_dir):
+    from ledgerflow.sources.csv import CsvOptions, read_csv
+
+    rows = [(k, f'{n}\n"x";', *([] if r == 2 else [r])) for k, n, r in _small(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")]
+    return read_csv(spark, _csv(f"{_folder()}/nation.csv", rows, ["key", "name", "region"]), CsvOptions(row_width="pad"))
+
+
+@query("select n_regionkey as _file, n_nationkey::varchar as key, n_name as name from nation")
+def csv_set_union(spark, sf_dir):
+    from ledgerflow.sources.csv import read_csv_set
+
+    d = _folder()
+    rows = _small(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    for k in range(5):
+        _csv(f"{d}/{k}.csv", [r[:2] for r in rows if r[2] == k], ["key", "name"])
+    return read_csv_set(spark, d, position=True).drop("_record")
+
+
+@query("select n_nationkey::varchar as n_nationkey, n_name, (n_nationkey + 2)::int as row_idx from nation")
+def xlsx_scan(spark, sf_dir):
+    from ledgerflow.sinks import write_xlsx
+    from ledgerflow.sources.xlsx import Workbook
+
+    path = f"{_folder()}/nation.xlsx"
+    write_xlsx(t(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey"), path)
+    return Workbook(spark, path).get_sheet(0)
+
+
+@query("select n_regionkey::varchar as key, min_by(n_name, n_nationkey) as value from nation group by 1")
+def xlsx_lookup_map(spark, sf_dir):
+    from ledgerflow.operators import first_wins
+    from ledgerflow.sinks import write_xlsx
+    from ledgerflow.sources.xlsx import Workbook
+
+    path = f"{_folder()}/nation.xlsx"
+    write_xlsx(t(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey", "n_name"), path)
+    rows = Workbook(spark, path).get_range(0, "A1:B26")
+    return first_wins(rows.select("row_idx", F.col("n_regionkey").alias("key"), F.col("n_name").alias("value")), ["key"], "row_idx").select("key", "value")
+
+
+@query("select o_orderpriority as priority, count(*)::bigint as n, sum(o_totalprice::decimal(18, 2))::decimal(28, 2) as total from orders group by 1")
+def publish_replace(spark, sf_dir):
+    from ledgerflow.plans import Publisher
+    from ledgerflow.schema import apply_inferred, infer_schema
+
+    p = Publisher(spark, _folder())
+    rows = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    for run, df in (("r1", rows.limit(1)), ("r2", rows)):
+        p.commit([p.stage(apply_inferred(df, infer_schema(df)), "priorities", "task", run)], "task", run)
+    return p.read("priorities").withColumn("total", F.col("total").cast("decimal(28,2)"))
+
+
+@query("select p_partkey, p_size::smallint as p_size, p_retailprice::decimal(12, 2) as price, p_brand from part")
+def publish_refill(spark, sf_dir):
+    from ledgerflow.plans import Publisher
+    from ledgerflow.schema import Column, enforce
+
+    p = Publisher(spark, _folder())
+    columns = (Column("p_partkey", "BIGINT"), Column("p_size", "SMALLINT"), Column("price", "NUMERIC(12, 2)"), Column("p_brand", "VARCHAR(20)"))
+    rows = t(spark, sf_dir, "part").select(F.col("p_retailprice").cast("decimal(18,2)").alias("price"), "p_partkey", "p_size", "p_brand")
+    for run, df in (("r1", rows.filter("p_size > 40")), ("r2", rows)):
+        p.commit([p.stage(enforce(df, columns), "parts", "task", run, "refill")], "task", run)
+    return p.read("parts")
+
+
+@query("select n_nationkey::varchar || chr(9) || case when n_regionkey = 0 then '\\N' else n_name end || chr(9) || (case when n_regionkey = 1 then 't' else 'f' end) as value from nation")
+def copy_text_export(spark, sf_dir):
+    from ledgerflow.sinks import copy_text
+
+    r = F.col("n_regionkey")
+    return copy_text(t(spark, sf_dir, "nation").select("n_nationkey", F.when(r != 0, F.col("n_name")).alias("name"), (r == 1).alias("b")))
+
+
+@query("select 'published' as first, 'skipped' as second, 'published' as third, 5::bigint as rows, sum(n_nationkey)::bigint as total from nation")
+def run_and_skip(spark, sf_dir):
+    from ledgerflow.plans import Output, Pipeline, Publisher, csv_file, run_pipelines
+
+    class ByRegion(Pipeline):
+        output = Output("by_region")
+        roles = {"rows": "nation"}
+
+        def run(self, ctx, rows):
+            return O.sum_by(O.strict_cast(rows, {"key": "int"}), ["region"], {"total": "key"})
+
+    d = _folder()
+    path = _csv(f"{d}/nation.csv", _small(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")[:5], ["key", "region"])
+    p = Publisher(spark, f"{d}/published")
+    go = lambda: run_pipelines(spark, "task", [ByRegion], [csv_file("nation", path)], p).status
+    first, second = go(), go()
+    _csv(path, _small(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"), ["key", "region"])
+    third = go()
+    return p.read("by_region").agg(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(third).alias("third"), F.count(F.lit(1)).alias("rows"), F.sum("total").alias("total"))
