@@ -33,7 +33,7 @@ from ledgerflow.llm.common import table, text_bytes, written
 from ledgerflow.llm.token_counts import vocabulary
 
 MARK = "▁"
-HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 23, 60, 4_000_000, 50_000
+HEAD, MASK_CHARS, CHUNK_BYTES, REMEMBER = 1 << 22, 60, 2_000_000, 20_000
 UNKNOWN_PENALTY = 10.0
 
 
