@@ -38,6 +38,8 @@ from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of,
 
 SPAN, K, CHUNK_WORDS = 20, 6, 400_000
 NO_ID = -(2**63)
+#: Windows of one task that are put together by document before they move.
+HELD = 1_000_000
 _MOST = np.uint64(2**64 - 1)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -209,15 +211,17 @@ def _windows(batches):
         start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (x[1:] != x[:-1])]))
         ends = np.append(start, len(p)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_signed(x[start])), pa.array(k1[d[start]]), pa.array(k2[d[start]]), pa.array(p[start].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(y))), pa.nulls(len(start), pa.list_(pa.int32()))],
+            [pa.array(_signed(x[start])), pa.array(k1[d[start]]), pa.array(k2[d[start]]), pa.array(p[start].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(y))), pa.nulls(len(start), pa.binary())],
             names=["a", "k1", "k2", "pos", "hashes", "lost"],
         )
         if lost.any():
             d, p = doc[lost], pos[lost].astype(np.int32)
             ids = np.unique(d)
             spread = _signed(mix64(k2[ids].view(np.uint64)))
+            ends = np.append(np.searchsorted(d, ids), len(d))
+            places = [p[i:j].tobytes() for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(k1[ids]), pa.array(k2[ids]), pa.array(np.full(len(ids), -1, np.int32)), pa.nulls(len(ids), pa.list_(pa.int64())), _lists(p, np.searchsorted(ids, d), len(ids), pa.int32())],
+                [pa.array(spread), pa.array(k1[ids]), pa.array(k2[ids]), pa.array(np.full(len(ids), -1, np.int32)), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(places, pa.binary())],
                 names=["a", "k1", "k2", "pos", "hashes", "lost"],
             )
 
@@ -234,12 +238,15 @@ def _later(batches):
     """Windows sorted by h -> (k1, k2, lost) of all but the earliest of each sequence (h, a). Of a sequence that goes on in
     the next batch the earliest so far is kept, so any number of copies streams through."""
     heads: dict[int, tuple] = {}
-    last = None
+    last, held, n_held = None, [], 0
     for b in batches:
         packed = pa.compute.is_valid(b.column(5))
         whole = b.filter(packed)
         if whole.num_rows:
-            yield pa.RecordBatch.from_arrays([whole.column(2), whole.column(3), whole.column(5)], names=["k1", "k2", "lost"])
+            places = whole.column(5).to_pylist()
+            ends = np.cumsum([0, *(len(x) // 4 for x in places)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(places), np.int32)))
+            yield pa.RecordBatch.from_arrays([whole.column(2), whole.column(3), lists], names=["k1", "k2", "lost"])
             b = b.filter(pa.compute.invert(packed))
         if not b.num_rows:
             continue
@@ -270,7 +277,13 @@ def _later(batches):
         lost = (k1 != b1) | (k2 != b2) | (pos != bp)
         if late or lost.any():
             more = np.array(late, np.int64).reshape(-1, 3)
-            yield _by_document(*(np.concatenate([c[lost], x.astype(c.dtype)]) for c, x in zip((k1, k2, pos), more.T)))
+            held.append([np.concatenate([c[lost], x.astype(c.dtype)]) for c, x in zip((k1, k2, pos), more.T)])
+            n_held += len(held[-1][0])
+            if n_held > HELD:
+                yield _by_document(*map(np.concatenate, zip(*held)))
+                held, n_held = [], 0
+    if held:
+        yield _by_document(*map(np.concatenate, zip(*held)))
 
 
 def drawn(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -299,7 +312,8 @@ def suspects(docs: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame
 
 def lost_windows(found: DataFrame) -> DataFrame:
     """k1, k2, lost: the first words of a document's windows that also start earlier. found: as of suspects()."""
-    rows = found.mapInArrow(_windows, "a long, k1 long, k2 long, pos int, hashes array<long>, lost array<int>").repartition("a")
+    rows = found.mapInArrow(_windows, "a long, k1 long, k2 long, pos int, hashes array<long>, lost binary").repartition("a")
+    # lost is binary as Spark takes ten times as long to hand rows with a list to Python
     # paths move packed and are spread into windows where they meet; one sort key of 64 bits is sorted by radix
     rows = rows.select("a", "k1", "k2", "pos", "lost", F.posexplode_outer("hashes").alias("i", "h"))
     rows = rows.select("a", "h", "k1", "k2", (F.col("pos") + F.coalesce("i", F.lit(0))).alias("pos"), "lost")
