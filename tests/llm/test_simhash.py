@@ -78,10 +78,29 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_one_of_each_group_stays(docs, corpus):
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage, rows = [word() for _ in range(40)], []
+    for _ in range(40):
+        w = [word() for _ in range(rng.randint(60, 300))] + passage
+        for _ in range(rng.randint(1, 4)):
+            v = list(w)
+            for at in rng.sample(range(len(v)), int(len(v) * rng.choice([0, 0.005, 0.015, 0.05]))):
+                v[at] = word()
+            rows.append((len(rows), " ".join(v)))
+    rng.shuffle(rows)
+    cut = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}, plain(t)) for i, t in rows]
+    near = [(a[0], b[0]) for a, b in combinations(cut, 2) if len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]) or (a[2] ^ b[2]).bit_count() <= 2]
+    want = roots(near, [i for i, _ in rows])
+    got = {r.doc_id: r.component_id for r in S.near_grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and 40 <= len(set(want.values())) < len(rows)
+
+
+def test_one_of_each_group_stays(docs):
     got = S.deduplicated(docs)
     kept = [r.doc_id for r in got.collect()]
-    groups = {(r.doc_id, r.component_id) for r in S.grouped(docs).collect() if r.doc_id is not None}
+    groups = {(r.doc_id, r.component_id) for r in S.near_grouped(docs).collect() if r.doc_id is not None}
     assert got.columns == docs.columns and sorted(k for k in kept if k is not None) == sorted({c for _, c in groups}) and kept.count(None) == 2
 
 
