@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches of BATCH_BYTES at most, unless it has a bound of its own.
+    Operators whose result is a plan that reads texts call this: they don't know when the plan runs."""
+    if spark.conf.get(BATCH_BYTES[0]).rstrip("b") == str(64 << 20):
+        spark.conf.set(*BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and an executor's loss costs no more than a task."""
     spark = df.sparkSession

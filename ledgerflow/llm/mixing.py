@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerflow.llm.common import id_key, n_words, table, text_hash, with_n_chars, written
+from ledgerflow.llm.common import bounded, id_key, n_words, table, text_hash, with_n_chars, written
 
 #: Words in a block, and slots of a shard.
 BLOCK = 64
@@ -203,6 +203,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     texts = docs.withColumns({"_d1": id_key(), "_d2": text_hash(text)}).dropDuplicates(["_d1", "_d2"])
     rows = texts.join(rows, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*[F.col(c) for c in docs.columns], "_parts")
     names, at = docs.columns, docs.columns.index(text)
+    bounded(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import table, text_bytes, written
+from ledgerflow.llm.common import bounded, table, text_bytes, written
 from ledgerflow.llm.token_counts import vocabulary
 
 MARK = "▁"
@@ -261,6 +261,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
     """doc_id, ids, n_tokens, and round_trip: whether the ids decode to the text."""
     path = path or vocabulary("piece_bpe_32k.model")
     spark = docs.sparkSession
+    bounded(spark)
     shared = spark.sparkContext.broadcast(frequent(docs, path, text).combine_chunks())
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import encoded, split_all, starts_of, table, text_bytes, written
+from ledgerflow.llm.common import bounded, encoded, split_all, starts_of, table, text_bytes, written
 
 FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 11
 MARGIN, EXTRA_DEPTH = 0.3, 4
@@ -209,6 +209,7 @@ def filtered(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     """The kept rows of docs, with all their columns. Texts are judged where they are read: they are not shuffled."""
     forest, most = fit(written(statistics(docs, text), "quality-stats"), labels)
     at = docs.columns.index(text)
+    bounded(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, with_n_chars, written
+from ledgerflow.llm.common import bounded, encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, with_n_chars, written
 
 SPAN, K, CHUNK_WORDS = 20, 6, 400_000
 NO_ID = -(2**63)
@@ -356,6 +356,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, their texts without words that repeat earlier ones; texts without such words are as they were."""
     lost = lost_windows(suspects(docs, drawn(docs, text), text))
     names, at = docs.columns, docs.columns.index(text)
+    bounded(docs.sparkSession)
     rows = _keyed(docs, text)
     packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema])
     rows = rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(_packed(at), packed)
@@ -376,6 +377,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space) of every row."""
+    bounded(docs.sparkSession)
     edges = drawn(docs, text)
     found = suspects(docs, edges, text)
     lost = written(lost_windows(found), "substrings-lost")
