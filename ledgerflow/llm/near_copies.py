@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import mix64, text_bytes, text_hash, written
 from ledgerflow.llm.substrings import _P1, _chunks, _Words
 
-SHINGLE, SIMILARITY, LEAST, NEAR_BITS, SAME_BITS, OPEN_GROUPS = 5, 0.8, 8, 20, 4, 16
+SHINGLE, SIMILARITY, LEAST, NEAR_BITS, SAME_BITS, OPEN_GROUPS, NEAREST = 5, 0.8, 8, 20, 4, 16, 3
 
 
 def _sketch(fingerprint):
@@ -50,13 +50,14 @@ def _along_keys(batches):
             if key != now:
                 now, heads = key, [(t, fp, size)]
                 continue
-            alone = True
+            like = []
             for r, other, n in heads:
                 apart = ((fp ^ other) & 0xFFFFFFFFFFFFFFFF).bit_count()
                 if apart <= NEAR_BITS and min(size, n) >= SIMILARITY * max(size, n):
-                    alone &= apart > SAME_BITS
-                    pairs.append((t, r))
-            if alone:
+                    like.append((apart, r))
+            like.sort()
+            pairs += [(t, r) for _, r in like[:NEAREST]]
+            if not like or like[0][0] > SAME_BITS:
                 heads.append((t, fp, size))
                 if len(heads) > OPEN_GROUPS:  # the others meet under their other keys
                     heads.pop(0)
