@@ -2,7 +2,7 @@
 
 Texts with four fifths of their five-word shingles in common may differ in ten and more
 bits of a fingerprint, which no affordable set of masks covers. They share most of
-their least hashed shingles instead, so every pair of a text's eight least makes a key.
+their least hashed shingles instead, so every pair of a text's six least makes a key.
 Along a key's texts, streamed in order, a text is compared by fingerprint and size with those
 that began a group of their own; what passes is verified on all shingles. Texts that
 miss each other under one key meet under others; tests hold the recall against brute force.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import mix64, text_bytes, text_hash, written
 from ledgerflow.llm.substrings import _P1, _chunks, _Words
 
-SHINGLE, SIMILARITY, LEAST, NEAR_BITS, SAME_BITS, OPEN_GROUPS, NEAREST = 5, 0.8, 8, 20, 4, 16, 3
+SHINGLE, SIMILARITY, LEAST, NEAR_BITS, SAME_BITS, OPEN_GROUPS, NEAREST = 5, 0.8, 6, 20, 4, 16, 3
 
 
 def _sketch(fingerprint):
@@ -92,4 +92,4 @@ def near_links(sketched: DataFrame) -> DataFrame:
     suspects = pairs.select("t").union(pairs.select("r")).distinct()
     sets = written(sets.join(suspects, "t").dropDuplicates(["t"]), "near-sets")
     both = pairs.join(sets.withColumnRenamed("shingles", "x"), "t").join(sets.select(F.col("t").alias("r"), F.col("shingles").alias("y")), "r")
-    return both.select("t", "r", "x", "y").mapInArrow(_verified, "u long, v long")
+    return written(both.select("t", "r", "x", "y").mapInArrow(_verified, "u long, v long"), "near-links")

@@ -129,8 +129,10 @@ def near_grouped(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> D
     heads = written(texts.groupBy("fp").agg(F.min("t").alias("head")), "near-heads")
     alike = texts.join(heads, "fp").filter("t <> head").select(F.col("t").alias("u"), F.col("head").alias("v"))
     of = lambda c, to: heads.select(F.col("fp").alias(c), F.col("head").alias(to))
-    within = links(heads.select("fp"), radius).join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
-    roots = components(alike.union(within).union(near_copies.near_links(sketched)))
+    # one thing after the other: side by side these jobs take the executors' memory together
+    near = near_copies.near_links(sketched)
+    within = written(links(heads.select("fp"), radius), "near-within").join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    roots = components(alike.union(within).union(near))
     rows = docs.select("doc_id", text_hash(text).alias("_t"))
     rows = written(rows.join(roots, F.col("_t") == F.col("u"), "left").select("doc_id", F.coalesce("v", "_t").alias("root")), "near-roots")
     lowest = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-lowest")
