@@ -1,11 +1,15 @@
 """Near copies beyond the fingerprint's radius, for stages that drop documents.
 
-Texts with four fifths of their five-word shingles in common may differ in ten and more
-bits of a fingerprint, which no affordable set of masks covers. They share most of
-their least hashed shingles instead, so every pair of a text's eight least makes a key.
-Along a key's texts, streamed in order, a text is compared by fingerprint and size with those
-that began a group of their own; what passes is verified on all shingles. Texts that
-miss each other under one key meet under others; tests hold the recall against brute force.
+Texts with four fifths of their distinct five-word shingles in common are linked, all of them: an exact
+prefix filter. Shingles have one order for all texts, rare ones first; of a text with n shingles the first
+n - ceil(0.8 n) + 1 are its keys, and two texts that are similar enough share a key, whatever the order is.
+The order only says how many meet under a key: shingles frequent in a sample of texts come last.
+
+1. Along each key's texts, streamed in order, a text is linked with the one that looks most like it by
+fingerprint among a few; what is verified makes groups, so that a large group costs a pair a text. 2. All texts of a
+key that are in different groups and similar enough in size are paired. A pair is dropped early only if
+parities of hashed shingles, a lower bound of how many shingles differ, rule it out; the rest is
+verified on all shingles (as 32-bit hashes).
 """
 
 from __future__ import annotations
@@ -15,55 +19,181 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import mix64, text_bytes, text_hash, written
+from ledgerflow.llm.common import text_bytes, text_hash, written
+from ledgerflow.llm.components import components
 from ledgerflow.llm.substrings import _P1, _chunks, _Words
 
-SHINGLE, SIMILARITY, LEAST, NEAR_BITS, SAME_BITS, OPEN_GROUPS, NEAREST = 5, 0.8, 8, 20, 4, 16, 3
+SHINGLE = 5
+#: First step alone; the second has no such bounds.
+NEAR_BITS, OPEN_GROUPS = 20, 16
+#: One text in SAMPLE is looked at for frequent shingles, of which HOT at most are ordered by frequency.
+SAMPLE, HOT, HOT_LEAST = 8, 1 << 19, 3
+MOST_PARITIES = 1 << 15
+#: Pairs of one task that are made distinct before they move.
+HELD = 1 << 20
+
+
+def _parities(own: np.ndarray) -> bytes:
+    """A bit for each bucket: whether an odd number of shingles falls into it."""
+    size = min(max(64, 1 << len(own).bit_length()), MOST_PARITIES)
+    return np.packbits(np.bincount(own & np.uint32(size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At most so many shingles as differ between two sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)), axis=0)
+    return int.from_bytes((folded ^ np.frombuffer(x, np.uint8)).tobytes(), "little").bit_count()
 
 
 def _sketch(fingerprint):
     def run(batches):
+        seen: set[int] = set()
         for k2, texts in _chunks(batches, 1):
-            lower = [t.lower() for t in texts]
+            new = []
+            for i, t in enumerate(k2.to_pylist()):
+                if t not in seen:
+                    seen.add(t)
+                    new.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            lower = [texts[i].lower() for i in new]
             w = _Words(lower)
-            h = w.rolled(SHINGLE, _P1)
-            keys, sets, size = [], [], []
-            for a, n in zip(w.starts, w.counts):
-                own = np.unique(h[a : a + n - SHINGLE + 1]) if n >= SHINGLE else np.empty(0, np.uint64)
-                low = own[:LEAST]
-                i, j = np.triu_indices(len(low), 1)
-                keys.append(mix64(low[i] * _P1 + low[j]).view(np.int64))
-                sets.append(np.sort((own >> np.uint64(32)).astype(np.uint32)).tobytes())
-                size.append(len(own))
+            h = (w.rolled(SHINGLE, _P1) >> np.uint64(32)).astype(np.uint32)
+            sets = [np.unique(h[a : a + n - SHINGLE + 1]) if n >= SHINGLE else np.empty(0, np.uint32) for a, n in zip(w.starts, w.counts)]
             fp = np.array([fingerprint(t) for t in lower], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([k2, pa.array(fp), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["t", "fp", "size", "keys", "shingles"])
+            cols = [k2.take(pa.array(new, pa.int64())), pa.array(fp), pa.array([len(s) for s in sets], pa.int32())]
+            cols += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["t", "fp", "size", "parities", "shingles"])
 
     return run
 
 
-def _along_keys(batches):
-    """(key, t, fp, size), sorted by key and t -> (t, r): pairs to verify."""
-    now, heads = None, []
+def _counted(batches):
+    """(shingles) -> key, n: what occurs more than once is counted here."""
     for b in batches:
-        pairs = []
-        for key, t, fp, size in zip(*(c.to_pylist() for c in b.columns)):
-            if key != now:
-                now, heads = key, [(t, fp, size)]
+        all_of = [np.frombuffer(s, np.int32) for s in b.column(0).to_pylist()]
+        if all_of:
+            key, n = np.unique(np.concatenate(all_of), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def _prefixes(shared):
+    """(t, fp, size, shingles) -> key, t, fp, size: a row for each key of a text."""
+
+    def run(batches):
+        hot, level = shared.value
+        for b in batches:
+            sets = [np.frombuffer(s, np.uint32) for s in b.column(3).to_pylist()]
+            if not sets:
                 continue
-            like = []
-            for r, other, n in heads:
-                apart = ((fp ^ other) & 0xFFFFFFFFFFFFFFFF).bit_count()
-                if apart <= NEAR_BITS and min(size, n) >= SIMILARITY * max(size, n):
-                    like.append((apart, r))
-            like.sort()
-            pairs += [(t, r) for _, r in like[:NEAREST]]
-            if not like or like[0][0] > SAME_BITS:
-                heads.append((t, fp, size))
-                if len(heads) > OPEN_GROUPS:  # the others meet under their other keys
-                    heads.pop(0)
-        if pairs:
-            t, r = zip(*set(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(r, pa.int64())], names=["t", "r"])
+            flat = np.concatenate(sets)
+            order = flat.astype(np.uint64)
+            if len(hot) and len(flat):
+                at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+                order |= np.where(hot[at] == flat, level[at], 0).astype(np.uint64) << np.uint64(32)
+            keys, counts, start = [], [], 0
+            for s in sets:
+                n = len(s)
+                first = n - (4 * n + 4) // 5 + 1 if n else 0
+                own = order[start : start + n]
+                keys.append(np.partition(own, first - 1)[:first] if 0 < first < n else own)
+                counts.append(len(keys[-1]))
+                start += n
+            key = (np.concatenate(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            rows = pa.array(np.repeat(np.arange(len(sets)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(i).take(rows) for i in range(3))], names=["key", "t", "fp", "size"])
+
+    return run
+
+
+def _by_key(batches):
+    """Columns of rows sorted by key and t, cut so that no key's rows are parted; without a row's repetitions, and
+    without keys of one text. The bounds of keys."""
+    left = None
+
+    def shared_keys(cols):
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        cols = [c[new] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
+        keep = np.zeros(len(cols[0]), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        cols = [c[keep] for c in cols]
+        starts = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(cols[0]) else np.empty(0, np.int64)
+        return cols, np.append(starts, len(cols[0]))
+
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
+            continue
+        if left is not None and left[0][0][0] == cols[0][-1]:  # one key throughout
+            left = [[*held, c] for held, c in zip(left, cols)]
+            continue
+        if left is not None:
+            cols = [np.concatenate([*held, c]) for held, c in zip(left, cols)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield shared_keys([c[:cut] for c in cols])
+        left = [[c[cut:]] for c in cols]
+    if left is not None:
+        yield shared_keys([np.concatenate(held) for held in left])
+
+
+def _along_keys(batches):
+    """(key, t, fp, size), sorted by key and t -> key, t, size, r: rows of shared keys; r: what t may be a near copy of."""
+    for (key, t, fp, size), bounds in _by_key(batches):
+        like: list[int | None] = [None] * len(t)
+        ts, fps, sizes = t.tolist(), fp.tolist(), size.tolist()
+        for a, c in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            heads = [a]
+            for i in range(a + 1, c):
+                best = None
+                for h in heads:
+                    if 5 * min(sizes[i], sizes[h]) >= 4 * max(sizes[i], sizes[h]):
+                        bits = ((fps[i] ^ fps[h]) & 0xFFFFFFFFFFFFFFFF).bit_count()
+                        if bits <= NEAR_BITS and (best is None or bits < best[0]):
+                            best = (bits, h)
+                if best:
+                    like[i] = ts[best[1]]
+                else:
+                    heads = [*heads[1 - OPEN_GROUPS :], i]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t), pa.array(size), pa.array(like, pa.int64())], names=["key", "t", "size", "r"])
+
+
+def _across_groups(batches):
+    """(key, t, size, root), sorted by key and t -> (t, r): all pairs of a key's texts that are in different groups."""
+    pairs, held = [], 0
+
+    def out():
+        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["t", "r"])
+
+    for (_, t, size, root), bounds in _by_key(batches):
+        size = size.astype(np.int64)
+        for a, c in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if (root[a:c] == root[a]).all():
+                continue
+            for i in range(a + 1, c):
+                n, m = size[a:i], size[i]
+                other = t[a:i][(root[a:i] != root[i]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))]
+                if len(other):
+                    pairs.append(np.stack([np.full(len(other), t[i]), other], 1))
+                    held += len(other)
+                if held > HELD:
+                    yield out()
+                    pairs, held = [], 0
+    yield out()
+
+
+def _possible(batches):
+    """(t, r, sizes, parities) -> (t, r) of pairs that the parities don't rule out."""
+    for b in batches:
+        t, r, n, m, x, y = (c.to_pylist() for c in b.columns)
+        keep = [9 * _apart(p, q) <= i + j for i, j, p, q in zip(n, m, x, y)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["t", "r"])
 
 
 def _verified(batches):
@@ -72,24 +202,47 @@ def _verified(batches):
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], names=["u", "v"])
+            keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
 
 def sketches(docs: DataFrame, fingerprint, text: str = "text") -> DataFrame:
-    """t (the text's hash), fp, size, keys, shingles of every distinct text, as a written table."""
-    rows = docs.select(text_hash(text).alias("t"), text_bytes(text).alias("_text")).mapInArrow(_sketch(fingerprint), "t long, fp long, size int, keys array<long>, shingles binary")
-    return written(rows, "near-sketches")
+    """t (the text's hash), fp, size, parities, shingles of the texts, as a written table; a task's repeated texts once."""
+    rows = docs.select(text_hash(text).alias("t"), text_bytes(text).alias("_text"))
+    return written(rows.mapInArrow(_sketch(fingerprint), "t long, fp long, size int, parities binary, shingles binary"), "near-sketches")
 
 
-def near_links(sketched: DataFrame) -> DataFrame:
-    """u, v: texts with at least SIMILARITY of their shingles in common."""
-    rows = sketched.groupBy("t").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    rows = rows.select(F.explode("keys").alias("key"), "t", "fp", "size").repartition("key").sortWithinPartitions("key", "t")
-    pairs = rows.mapInArrow(_along_keys, "t long, r long").distinct()
-    pairs = written(pairs, "near-pairs")
-    sets = sketched.select("t", "shingles")
+def _links(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """u, v: those of the pairs (t, r) that are similar."""
+    texts = sketched.select("t", "size", "parities").dropDuplicates(["t"])
+    others = texts.select(F.col("t").alias("r"), F.col("size").alias("m"), F.col("parities").alias("y"))
+    both = pairs.join(texts, "t").join(others, "r").select("t", "r", "size", "m", "parities", "y")
+    pairs = written(both.mapInArrow(_possible, "t long, r long"), "near-pairs")
     suspects = pairs.select("t").union(pairs.select("r")).distinct()
-    sets = written(sets.join(suspects, "t").dropDuplicates(["t"]), "near-sets")
+    sets = written(sketched.select("t", "shingles").join(suspects, "t").dropDuplicates(["t"]), "near-sets")
     both = pairs.join(sets.withColumnRenamed("shingles", "x"), "t").join(sets.select(F.col("t").alias("r"), F.col("shingles").alias("y")), "r")
     return written(both.select("t", "r", "x", "y").mapInArrow(_verified, "u long, v long"), "near-links")
+
+
+def _frequent(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of the sample, sorted, and how frequent they are (in doublings)."""
+    some = sketched.filter(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).dropDuplicates(["t"]).select("shingles")
+    n = some.mapInArrow(_counted, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    got = n.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
+    key, n = got.column("key").to_numpy().view(np.uint32), got.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], (1 + np.log2(n[order])).astype(np.uint8)
+
+
+def near_links(sketched: DataFrame) -> DataFrame:
+    """u, v: links whose components are those of all texts with four fifths of their shingles in common."""
+    shared = sketched.sparkSession.sparkContext.broadcast(_frequent(sketched))
+    rows = sketched.select("t", "fp", "size", "shingles").mapInArrow(_prefixes(shared), "key int, t long, fp long, size int")
+    rows = rows.repartition("key").sortWithinPartitions("key", "t")
+    rows = written(rows.mapInArrow(_along_keys, "key int, t long, size int, r long"), "near-keys")
+    first = _links(sketched, rows.filter("r is not null").select("t", "r").distinct())
+    groups = components(first)
+    rows = rows.select("key", "t", "size").join(groups, F.col("t") == F.col("u"), "left").select("key", "t", "size", F.coalesce("v", "t").alias("root"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "t")
+    pairs = written(rows.mapInArrow(_across_groups, "t long, r long").distinct(), "near-across")
+    return first.union(_links(sketched, pairs))
