@@ -46,3 +46,12 @@ def test_shared_passage_hides_no_pair(spark):
         texts += [" ".join(passage + own), " ".join(passage + other)]
     want = brute(texts)
     assert len(want) == 150 and linked(spark, texts) == want
+
+
+def test_repeated_line_hides_no_pair(spark):
+    rng, texts = random.Random(6), []
+    for _ in range(50):
+        own, line = words(rng, 300), words(rng, 10)
+        texts += [" ".join(own + line * 25), " ".join(own + line * 2)]
+    want = brute(texts)
+    assert len(want) == 50 and linked(spark, texts) == want
