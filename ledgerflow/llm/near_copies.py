@@ -1,19 +1,29 @@
 """Near copies beyond the fingerprint's radius, for stages that drop documents.
 
-Texts with four fifths of their distinct five-word shingles in common are linked, all of them: an exact
-prefix filter. Shingles have one order for all texts, rare ones first; of a text with n shingles the first
-n - ceil(0.8 n) + 1 are its keys, and two texts that are similar enough share a key, whatever the order is.
-The order only says how many meet under a key: shingles frequent in a sample of texts come last.
-
-1. Along each key's texts, streamed in order, a text is linked with the one that looks most like it by
-fingerprint among a few; what is verified makes groups, so that a large group costs a pair a text. 2. All texts of a
-key that are in different groups and similar enough in size are paired. A pair is dropped early only if
-parities of hashed shingles, a lower bound of how many shingles differ, rule it out; the rest is
-verified on all shingles (as 32-bit hashes).
+Texts with four fifths of their distinct five-word shingles in common are linked, all of them, by an exact prefix
+filter with positions. Shingles have one order for all texts, rare ones first; of a text with n shingles the first
+n - ceil(0.8 n) + 1 are its keys. The first shingle that two similar texts share, in that order, is a key of both, and
+what follows it bounds what they share: with n - i shingles from it on, a text can only be similar to texts of at most
+(9 (n - i) - 4 n) / 4 shingles. So texts that merely share a common passage meet under its shingles, but are no pair:
+their own, rarer shingles come first. The order only decides how many meet under a key, not what is found.
+
+1. Texts whose least shingle (under one of MINIMA hash functions) is the same are compared with one of them. What is
+verified makes groups, so that a large group of copies costs a few pairs a text. 2. Texts of different groups that
+share a key and may be similar by the bound are paired. A pair is dropped early only if parities of hashed shingles, a
+lower bound of how many differ, rule it out; the rest is verified on all shingles (as 40-bit hashes).
+
+Of the two texts of a pair the smaller one's bound reaches its own size (a strong row); a task holds strong rows alone, the
+others stream by. A key that the sample shows to be very frequent is dealt over cells: each strong row goes to one, the
+others to all, so a cell has about CELL_ROWS strong rows, whatever a key has. No pair, key or candidate is left out.
+
+Defined cases: a null text is an empty one; texts under five words have no shingle and no link here; repeated texts count
+once; an empty table gives no link. Only the text's column is read, so extra columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,20 +33,20 @@ from ledgerflow.llm.common import text_bytes, text_hash, written
 from ledgerflow.llm.components import components
 from ledgerflow.llm.substrings import _P1, _chunks, _Words
 
-SHINGLE = 5
-#: First step alone; the second has no such bounds.
-NEAR_BITS, OPEN_GROUPS = 20, 16
+SHINGLE, BITS, MINIMA = 5, 40, 4
 #: One text in SAMPLE is looked at for frequent shingles, of which HOT at most are ordered by frequency.
 SAMPLE, HOT, HOT_LEAST = 8, 1 << 19, 3
 MOST_PARITIES = 1 << 15
-#: Pairs of one task that are made distinct before they move.
-HELD = 1 << 20
+CELL_ROWS = 1 << 20
+#: Places compared at once, and pairs of a task that are made distinct before they move.
+COMPARED, HELD = 1 << 21, 1 << 20
+_ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def _parities(own: np.ndarray) -> bytes:
     """A bit for each bucket: whether an odd number of shingles falls into it."""
     size = min(max(64, 1 << len(own).bit_length()), MOST_PARITIES)
-    return np.packbits(np.bincount(own & np.uint32(size - 1), minlength=size) & 1, bitorder="little").tobytes()
+    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
 def _apart(x: bytes, y: bytes) -> int:
@@ -47,6 +57,16 @@ def _apart(x: bytes, y: bytes) -> int:
     return int.from_bytes((folded ^ np.frombuffer(x, np.uint8)).tobytes(), "little").bit_count()
 
 
+def _closed(own: np.ndarray) -> bytes:
+    """A sorted set of BITS-bit numbers, five bytes each."""
+    return (own >> np.uint64(8)).astype(np.uint32).tobytes() + own.astype(np.uint8).tobytes()
+
+
+def _opened(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
+
+
 def _sketch(fingerprint):
     def run(batches):
         seen: set[int] = set()
@@ -60,12 +80,13 @@ def _sketch(fingerprint):
                 seen.clear()
             lower = [texts[i].lower() for i in new]
             w = _Words(lower)
-            h = (w.rolled(SHINGLE, _P1) >> np.uint64(32)).astype(np.uint32)
-            sets = [np.unique(h[a : a + n - SHINGLE + 1]) if n >= SHINGLE else np.empty(0, np.uint32) for a, n in zip(w.starts, w.counts)]
+            h = w.rolled(SHINGLE, _P1) >> np.uint64(64 - BITS)
+            sets = [np.unique(h[a : a + n - SHINGLE + 1]) if n >= SHINGLE else h[:0] for a, n in zip(w.starts, w.counts)]
             fp = np.array([fingerprint(t) for t in lower], np.uint64).view(np.int64)
-            cols = [k2.take(pa.array(new, pa.int64())), pa.array(fp), pa.array([len(s) for s in sets], pa.int32())]
-            cols += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["t", "fp", "size", "parities", "shingles"])
+            least = [[int((s * odd).min().view(np.int64)) for odd in _ODDS[:MINIMA]] if len(s) else [] for s in sets]
+            cols = [k2.take(pa.array(new, pa.int64())), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.list_(pa.int64()))]
+            cols += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([_closed(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["t", "fp", "size", "least", "parities", "shingles"])
 
     return run
 
@@ -73,126 +94,124 @@ def _sketch(fingerprint):
 def _counted(batches):
     """(shingles) -> key, n: what occurs more than once is counted here."""
     for b in batches:
-        all_of = [np.frombuffer(s, np.int32) for s in b.column(0).to_pylist()]
+        all_of = [_opened(s) for s in b.column(0).to_pylist()]
         if all_of:
             key, n = np.unique(np.concatenate(all_of), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-def _prefixes(shared):
-    """(t, fp, size, shingles) -> key, t, fp, size: a row for each key of a text."""
+def _keys(shared):
+    """(t, size, shingles, root) -> place, t, size, most, root: a row for each key of a text (and cell of the key). place: cell,
+    key, and whether the row isn't strong. most: the size up to which the text's partners under the key can go."""
 
     def run(batches):
-        hot, level = shared.value
+        hot, level, cells = shared.value
         for b in batches:
-            sets = [np.frombuffer(s, np.uint32) for s in b.column(3).to_pylist()]
-            if not sets:
+            sets = [_opened(s) for s in b.column(2).to_pylist()]
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            if not len(flat):
                 continue
-            flat = np.concatenate(sets)
-            order = flat.astype(np.uint64)
-            if len(hot) and len(flat):
+            if len(hot):
                 at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-                order |= np.where(hot[at] == flat, level[at], 0).astype(np.uint64) << np.uint64(32)
-            keys, counts, start = [], [], 0
+                flat = flat | np.where(hot[at] == flat, level[at], np.uint64(0)) << np.uint64(BITS)
+            firsts, start = [], 0
             for s in sets:
                 n = len(s)
-                first = n - (4 * n + 4) // 5 + 1 if n else 0
-                own = order[start : start + n]
-                keys.append(np.partition(own, first - 1)[:first] if 0 < first < n else own)
-                counts.append(len(keys[-1]))
+                own, first = flat[start : start + n], n - (4 * n + 4) // 5 + 1 if n else 0
+                firsts.append(np.sort(np.partition(own, first - 1)[:first] if 0 < first < n else own))
                 start += n
-            key = (np.concatenate(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            rows = pa.array(np.repeat(np.arange(len(sets)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(i).take(rows) for i in range(3))], names=["key", "t", "fp", "size"])
+            counts = np.array([len(x) for x in firsts])
+            row, key = np.repeat(np.arange(len(sets)), counts), np.concatenate(firsts) & np.uint64((1 << BITS) - 1)
+            size = np.array([len(s) for s in sets])[row]
+            i = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            most = (9 * (size - i) - 4 * size) // 4
+            weak, cell = most < size, np.zeros(len(row), np.int64)
+            if len(hot) and cells.max() > 1:
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                times = np.where(hot[at] == key, cells[at], 1)
+                own_cell = b.column(0).to_numpy().view(np.uint64)[row] % times.astype(np.uint64)
+                each = np.repeat(np.arange(len(row)), times)
+                cell = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                weak = weak[each] | (cell != own_cell[each].astype(np.int64))
+                row, key, size, most = row[each], key[each], size[each], most[each]
+            place = (cell << (BITS + 1)) | (key.astype(np.int64) << 1) | weak
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), b.column(0).take(rows), pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), b.column(3).take(rows)],
+                names=["place", "t", "size", "most", "root"],
+            )
 
     return run
 
 
-def _by_key(batches):
-    """Columns of rows sorted by key and t, cut so that no key's rows are parted; without a row's repetitions, and
-    without keys of one text. The bounds of keys."""
-    left = None
-
-    def shared_keys(cols):
-        new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        cols = [c[new] for c in cols]
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.zeros(len(cols[0]), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        cols = [c[keep] for c in cols]
-        starts = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(cols[0]) else np.empty(0, np.int64)
-        return cols, np.append(starts, len(cols[0]))
-
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if not len(cols[0]):
-            continue
-        if left is not None and left[0][0][0] == cols[0][-1]:  # one key throughout
-            left = [[*held, c] for held, c in zip(left, cols)]
-            continue
-        if left is not None:
-            cols = [np.concatenate([*held, c]) for held, c in zip(left, cols)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut:
-            yield shared_keys([c[:cut] for c in cols])
-        left = [[c[cut:]] for c in cols]
-    if left is not None:
-        yield shared_keys([np.concatenate(held) for held in left])
-
-
-def _along_keys(batches):
-    """(key, t, fp, size), sorted by key and t -> key, t, size, r: rows of shared keys; r: what t may be a near copy of."""
-    for (key, t, fp, size), bounds in _by_key(batches):
-        like: list[int | None] = [None] * len(t)
-        ts, fps, sizes = t.tolist(), fp.tolist(), size.tolist()
-        for a, c in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            heads = [a]
-            for i in range(a + 1, c):
-                best = None
-                for h in heads:
-                    if 5 * min(sizes[i], sizes[h]) >= 4 * max(sizes[i], sizes[h]):
-                        bits = ((fps[i] ^ fps[h]) & 0xFFFFFFFFFFFFFFFF).bit_count()
-                        if bits <= NEAR_BITS and (best is None or bits < best[0]):
-                            best = (bits, h)
-                if best:
-                    like[i] = ts[best[1]]
-                else:
-                    heads = [*heads[1 - OPEN_GROUPS :], i]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t), pa.array(size), pa.array(like, pa.int64())], names=["key", "t", "size", "r"])
-
-
-def _across_groups(batches):
-    """(key, t, size, root), sorted by key and t -> (t, r): all pairs of a key's texts that are in different groups."""
-    pairs, held = [], 0
+def _met(s: list[np.ndarray], r: list[np.ndarray]):
+    """(group, t, size, most, root) of strong rows and of all rows of the same groups -> pairs of texts (n x 2) that may be similar:
+    those of one group and different roots, the strong one not larger."""
+    k = len(s[0])
+    group, root = np.concatenate([s[0], r[0]]), np.concatenate([s[4], r[4]])
+    order = np.lexsort((root, group))
+    new_group = np.append(True, np.diff(group[order]) != 0)[: len(order)]
+    new = new_group | np.append(True, np.diff(root[order]) != 0)[: len(order)]
+    gid, pid = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    gid[order], pid[order] = np.cumsum(new_group) - 1, np.cumsum(new) - 1
+    several = np.bincount(gid[order][new]) > 1  # groups with more than one root
+    strong = np.flatnonzero(several[gid[:k]])
+    by_root = order[order >= k] - k
+    by_root = by_root[several[gid[k:][by_root]]]
+    if not len(strong) or not len(by_root):
+        return
+    r_gid, r_pid = gid[k:][by_root], pid[k:][by_root]
+    lo, hi = (np.searchsorted(r_gid, gid[strong], side) for side in ("left", "right"))
+    own, past = (np.searchsorted(r_pid, pid[strong], side) for side in ("left", "right"))
+    count = hi - lo - (past - own)
+    ends = np.cumsum(count)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(COMPARED, ends[-1], COMPARED)) + 1, [len(count)]]))
+    for a, c in zip(cuts, cuts[1:]):
+        which = np.repeat(np.arange(a, c), count[a:c])
+        at = lo[which] + np.arange(len(which)) - np.repeat(ends[a:c] - count[a:c] - (ends[a - 1] if a else 0), count[a:c])
+        at += np.where(at >= own[which], (past - own)[which], 0)
+        x, y = strong[which], by_root[at]
+        n, m = s[2][x], r[2][y]
+        ok = (n <= m) & (m <= s[3][x]) & (n <= r[3][y])
+        if ok.any():
+            t, u = s[1][x[ok]], r[1][y[ok]]
+            yield np.stack([np.maximum(t, u), np.minimum(t, u)], 1)
+
+
+def _across(batches):
+    """Rows of _keys(), sorted by place within groups -> (t, r): pairs that share a key."""
+    held, pairs, n_pairs = None, [], 0
 
     def out():
         both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["t", "r"])
 
-    for (_, t, size, root), bounds in _by_key(batches):
-        size = size.astype(np.int64)
-        for a, c in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if (root[a:c] == root[a]).all():
-                continue
-            for i in range(a + 1, c):
-                n, m = size[a:i], size[i]
-                other = t[a:i][(root[a:i] != root[i]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))]
-                if len(other):
-                    pairs.append(np.stack([np.full(len(other), t[i]), other], 1))
-                    held += len(other)
-                if held > HELD:
-                    yield out()
-                    pairs, held = [], 0
+    for b in batches:
+        place, *rest = (c.to_numpy() for c in b.columns)
+        if not len(place):
+            continue
+        rows = [place >> 1, *rest]
+        strong = [c[place & 1 == 0] for c in rows]
+        before = held if held is not None and held[0][0] == rows[0][0] else [c[:0] for c in rows]
+        for part in (*_met([np.concatenate(c) for c in zip(before, strong)], rows), *_met(strong, before)):
+            pairs.append(part)
+            n_pairs += len(part)
+            if n_pairs > HELD:
+                yield out()
+                pairs, n_pairs = [], 0
+        last = rows[0][-1]
+        kept = [c[strong[0] == last] for c in strong]
+        if len(before[0]) and before[0][0] == last:
+            kept = [np.concatenate(c) for c in zip(before, kept)]
+        held = kept if len(kept[0]) else None
     yield out()
 
 
 def _possible(batches):
-    """(t, r, sizes, parities) -> (t, r) of pairs that the parities don't rule out."""
+    """(t, r, sizes, parities) -> (t, r) of pairs that sizes and parities don't rule out."""
     for b in batches:
         t, r, n, m, x, y = (c.to_pylist() for c in b.columns)
-        keep = [9 * _apart(p, q) <= i + j for i, j, p, q in zip(n, m, x, y)]
+        keep = [5 * min(i, j) >= 4 * max(i, j) and 9 * _apart(p, q) <= i + j for i, j, p, q in zip(n, m, x, y)]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["t", "r"])
 
 
@@ -200,16 +219,16 @@ def _verified(batches):
     for b in batches:
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = _opened(x), _opened(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(5 * both >= 4 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
 
 def sketches(docs: DataFrame, fingerprint, text: str = "text") -> DataFrame:
-    """t (the text's hash), fp, size, parities, shingles of the texts, as a written table; a task's repeated texts once."""
+    """t (the text's hash), fp, size, least, parities, shingles of the texts, as a written table; a task's repeated texts once."""
     rows = docs.select(text_hash(text).alias("t"), text_bytes(text).alias("_text"))
-    return written(rows.mapInArrow(_sketch(fingerprint), "t long, fp long, size int, parities binary, shingles binary"), "near-sketches")
+    return written(rows.mapInArrow(_sketch(fingerprint), "t long, fp long, size int, least array<long>, parities binary, shingles binary"), "near-sketches")
 
 
 def _links(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -224,25 +243,35 @@ def _links(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.select("t", "r", "x", "y").mapInArrow(_verified, "u long, v long"), "near-links")
 
 
-def _frequent(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of the sample, sorted, and how frequent they are (in doublings)."""
+def _frequent(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles of the sample, sorted, how frequent they are (in doublings), and how many cells they are dealt over."""
     some = sketched.filter(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).dropDuplicates(["t"]).select("shingles")
-    n = some.mapInArrow(_counted, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    n = some.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
     got = n.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
-    key, n = got.column("key").to_numpy().view(np.uint32), got.column("n").to_numpy()
+    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(key)
-    return key[order], (1 + np.log2(n[order])).astype(np.uint8)
+    return key[order], (1 + np.log2(n[order])).astype(np.uint64), 1 + n[order] * SAMPLE // CELL_ROWS
+
+
+def _least_alike(sketched: DataFrame) -> DataFrame:
+    """t, r: each text with one of those of about its size that have a least shingle in common with it."""
+    band = F.floor(F.log(F.col("size")) / F.lit(math.log(1.25)))
+    rows = sketched.filter("size > 0").select("t", band.alias("band"), F.posexplode("least").alias("i", "m"))
+    rows = rows.select("t", F.xxhash64("i", "m", "band").alias("k"))
+    heads = rows.groupBy("k").agg(F.min("t").alias("r"), F.max("t").alias("last")).filter("r <> last")
+    # the join's key isn't the aggregate's: both sides are exchanged, and Spark can split a key that many texts have
+    heads = heads.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k"), "r")
+    return rows.withColumn("k", F.col("k").bitwiseXOR(F.lit(1))).join(heads, "k").filter("t <> r").select("t", "r").distinct()
 
 
 def near_links(sketched: DataFrame) -> DataFrame:
     """u, v: links whose components are those of all texts with four fifths of their shingles in common."""
     shared = sketched.sparkSession.sparkContext.broadcast(_frequent(sketched))
-    rows = sketched.select("t", "fp", "size", "shingles").mapInArrow(_prefixes(shared), "key int, t long, fp long, size int")
-    rows = rows.repartition("key").sortWithinPartitions("key", "t")
-    rows = written(rows.mapInArrow(_along_keys, "key int, t long, size int, r long"), "near-keys")
-    first = _links(sketched, rows.filter("r is not null").select("t", "r").distinct())
-    groups = components(first)
-    rows = rows.select("key", "t", "size").join(groups, F.col("t") == F.col("u"), "left").select("key", "t", "size", F.coalesce("v", "t").alias("root"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "t")
-    pairs = written(rows.mapInArrow(_across_groups, "t long, r long").distinct(), "near-across")
+    first = _links(sketched, _least_alike(sketched))
+    groups = components(first).withColumnRenamed("v", "root")
+    texts = sketched.select("t", "size", "shingles").dropDuplicates(["t"])
+    texts = texts.join(groups, F.col("t") == F.col("u"), "left").select("t", "size", "shingles", F.coalesce("root", "t").alias("root"))
+    rows = texts.mapInArrow(_keys(shared), "place long, t long, size int, most int, root long")
+    rows = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
+    pairs = written(rows.mapInArrow(_across, "t long, r long").distinct(), "near-across")
     return first.union(_links(sketched, pairs))

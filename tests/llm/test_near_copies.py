@@ -21,7 +21,7 @@ def brute(texts):
         return x
 
     for a, b in combinations(range(len(texts)), 2):
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+        if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             up[top(a)] = top(b)
     return {frozenset(t for i, t in enumerate(texts) if top(i) == k) for k in {top(i) for i in range(len(texts))}}
 
@@ -38,14 +38,14 @@ def linked(spark, texts):
 
 def test_shared_passage_hides_no_pair(spark):
     rng = random.Random(5)
-    passage, texts = words(rng, 200), []
-    for _ in range(150):
+    passage, texts = words(rng, 260), []
+    for _ in range(500):  # strangers have 0.72 of their shingles in common
         own = words(rng, 50)
         other = list(own)
         other[10], other[40] = words(rng, 2)
         texts += [" ".join(passage + own), " ".join(passage + other)]
     want = brute(texts)
-    assert len(want) == 150 and linked(spark, texts) == want
+    assert len(want) == 500 and linked(spark, texts) == want
 
 
 def test_repeated_line_hides_no_pair(spark):
@@ -55,3 +55,27 @@ def test_repeated_line_hides_no_pair(spark):
         texts += [" ".join(own + line * 25), " ".join(own + line * 2)]
     want = brute(texts)
     assert len(want) == 50 and linked(spark, texts) == want
+
+
+def test_passages_of_several_lengths_and_edits(spark, monkeypatch):
+    rng, texts = random.Random(9), [None, "", " \n", "three words only", "one two three four five", "one two three four five"]
+    passages = [words(rng, k) for k in (260, 120, 60)]
+    for _ in range(150):
+        own = words(rng, rng.choice([50, 70, 100]))
+        base = own + words(rng, 200) if rng.random() < 0.2 else rng.choice(passages) + own
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 1, 5])):
+            other = list(base)
+            for _ in range(rng.randrange(1, 14)):
+                k = rng.randrange(len(other))
+                other[k : k + rng.randrange(2)] = words(rng, rng.randrange(3))
+            texts.append(" ".join(other))
+    want = {g for g in brute([t for t in texts if t]) if len(g) > 1}
+    assert len(want) > 20
+    for rows in (N.CELL_ROWS, 40):  # frequent keys in one cell, and dealt over many
+        monkeypatch.setattr(N, "CELL_ROWS", rows)
+        assert {g for g in linked(spark, texts) if len(g) > 1} == want
+
+
+def test_no_documents(spark, no_docs):
+    assert N.near_links(N.sketches(no_docs, S.fingerprint)).count() == 0
