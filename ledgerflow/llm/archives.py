@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import shared_dir, table, text_bytes, written
+from ledgerflow.llm.common import new_folder, table, text_bytes, written
 
 MIN_PAYLOAD, FILE_RECORDS = 1000, 20000
 #: Crawl date, address and origin of archives made from the table pages, which has none.
@@ -250,7 +250,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page to WARC archives, by way of ARC, and reads them back."""
-    path = f"{shared_dir(spark)}/lf-warc-{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).drop("record_id", "target_uri")
 

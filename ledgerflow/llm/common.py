@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these six ASCII characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,14 +29,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own. A session that names none gets
+    a temporary one if it runs in one process (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's name in the shared one; what is written there goes when the process ends, or with scratch()."""
+    path = f"{shared_dir(spark)}/lf-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on: Spark hands no column to Python whose name has a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def bounded(spark: SparkSession) -> None:
     """From now on the session hands texts to Python in batches of BATCH_BYTES at most, unless it has a bound of its own.
     Operators whose result is a plan that reads texts call this: they don't know when the plan runs."""
@@ -44,25 +73,43 @@ def bounded(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and an executor's loss costs no more than a task."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lf-{name}-{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, name)
     before = spark.conf.get(BATCH_BYTES[0])
     spark.conf.set(*BATCH_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_BYTES[0], before)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _written:
+def _drop(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session is gone, and its folder with it
-            return
+        except Exception:  # noqa: BLE001, S112  the session is gone, and its folder with it; others may not be
+            continue
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that are put into the list it gives: whatever is read later
+    must come from these alone."""
+    start, kept = len(_written), []
+    yield kept
+    stay = {df._written_at for df in kept}
+    gone = [entry for entry in _written[start:] if entry[1] not in stay]
+    _drop(gone)
+    for entry in gone:
+        _written.remove(entry)
+
+
+@atexit.register
+def _drop_written() -> None:
+    _drop(_written)
 
 
 def text_bytes(c: str = "text") -> Column:
@@ -74,8 +121,11 @@ def text_hash(c: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(c), F.lit("")))
 
 
-def id_key(c: str = "doc_id") -> Column:
-    """A null id sorts before all others."""
+def id_key(docs: DataFrame, c: str = "doc_id") -> Column:
+    """The id as a long; a null id sorts before all others. Ids that aren't whole numbers are refused."""
+    kind = docs.schema[c].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{c} has the type {kind.simpleString()}; ids are whole numbers")
     return F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
 
 

@@ -3,6 +3,9 @@
 Each task first reduces its own edges to a spanning star forest, which bounds what a
 hub sends. Each round is a written table, so lineage stays short; nothing but a
 row of checksums reaches the driver.
+
+Defined cases: an edge with a null end, or from a node to itself, links nothing; repeated edges count once; an empty
+table gives no row; columns but u and v are ignored.
 """
 
 from __future__ import annotations

@@ -67,6 +67,24 @@ def _opened(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
 
 
+def _sets(rolled: np.ndarray, doc: np.ndarray, left: np.ndarray, n: int) -> tuple[list[np.ndarray], pa.Array]:
+    """Each document's distinct shingles, sorted, and the least of them under each of MINIMA functions. A chunk has fewer than
+    2^(64 - BITS) documents with a shingle, so that one sort does for all of them."""
+    at = np.flatnonzero(left[: len(rolled)] >= SHINGLE)
+    owners, own = np.unique(doc[at], return_inverse=True)
+    both = np.sort(own.astype(np.uint64) << np.uint64(BITS) | rolled[at] >> np.uint64(64 - BITS))
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    owner, h = both >> np.uint64(BITS), both & np.uint64((1 << BITS) - 1)
+    cuts = np.searchsorted(owner, np.arange(len(owners) + 1).astype(np.uint64))
+    sets = [h[:0]] * n
+    for i, a, c in zip(owners.tolist(), cuts, cuts[1:]):
+        sets[i] = h[a:c]
+    least = np.stack([np.minimum.reduceat(h * odd, cuts[:-1]) for odd in _ODDS[:MINIMA]], 1) if len(h) else np.empty((0, MINIMA), np.uint64)
+    ends = np.zeros(n + 1, np.int32)
+    ends[1:][owners] = MINIMA
+    return sets, pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(least.ravel().view(np.int64)))
+
+
 def _sketch(fingerprint):
     def run(batches):
         seen: set[int] = set()
@@ -80,11 +98,9 @@ def _sketch(fingerprint):
                 seen.clear()
             lower = [texts[i].lower() for i in new]
             w = _Words(lower)
-            h = w.rolled(SHINGLE, _P1) >> np.uint64(64 - BITS)
-            sets = [np.unique(h[a : a + n - SHINGLE + 1]) if n >= SHINGLE else h[:0] for a, n in zip(w.starts, w.counts)]
+            sets, least = _sets(w.rolled(SHINGLE, _P1), w.doc, w.left, len(lower))
             fp = np.array([fingerprint(t) for t in lower], np.uint64).view(np.int64)
-            least = [[int((s * odd).min().view(np.int64)) for odd in _ODDS[:MINIMA]] if len(s) else [] for s in sets]
-            cols = [k2.take(pa.array(new, pa.int64())), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.list_(pa.int64()))]
+            cols = [k2.take(pa.array(new, pa.int64())), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), least]
             cols += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([_closed(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["t", "fp", "size", "least", "parities", "shingles"])
 
@@ -237,7 +253,8 @@ def _links(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     others = texts.select(F.col("t").alias("r"), F.col("size").alias("m"), F.col("parities").alias("y"))
     both = pairs.join(texts, "t").join(others, "r").select("t", "r", "size", "m", "parities", "y")
     pairs = written(both.mapInArrow(_possible, "t long, r long"), "near-pairs")
-    suspects = pairs.select("t").union(pairs.select("r")).distinct()
+    # written, so that Spark knows its size and, if it is small, leaves the shingles where they are
+    suspects = written(pairs.select("t").union(pairs.select("r")).distinct(), "near-suspects")
     sets = written(sketched.select("t", "shingles").join(suspects, "t").dropDuplicates(["t"]), "near-sets")
     both = pairs.join(sets.withColumnRenamed("shingles", "x"), "t").join(sets.select(F.col("t").alias("r"), F.col("shingles").alias("y")), "r")
     return written(both.select("t", "r", "x", "y").mapInArrow(_verified, "u long, v long"), "near-links")
@@ -269,8 +286,9 @@ def near_links(sketched: DataFrame) -> DataFrame:
     shared = sketched.sparkSession.sparkContext.broadcast(_frequent(sketched))
     first = _links(sketched, _least_alike(sketched))
     groups = components(first).withColumnRenamed("v", "root")
-    texts = sketched.select("t", "size", "shingles").dropDuplicates(["t"])
-    texts = texts.join(groups, F.col("t") == F.col("u"), "left").select("t", "size", "shingles", F.coalesce("root", "t").alias("root"))
+    # a text that several tasks have sketched has one root in all its rows, so these make no pairs
+    texts = sketched.select("t", "size", "shingles").join(groups, F.col("t") == F.col("u"), "left")
+    texts = texts.select("t", "size", "shingles", F.coalesce("root", "t").alias("root"))
     rows = texts.mapInArrow(_keys(shared), "place long, t long, size int, most int, root long")
     rows = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     pairs = written(rows.mapInArrow(_across, "t long, r long").distinct(), "near-across")

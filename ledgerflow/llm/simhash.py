@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.llm import near_copies
-from ledgerflow.llm.common import table, text_bytes, text_hash, written
+from ledgerflow.llm.common import scratch, table, text_bytes, text_hash, unused, written
 from ledgerflow.llm.components import components
 
 BITS, SHINGLE, RADIUS, HASH_SEED = 64, 3, 2, 42
@@ -124,26 +124,31 @@ def grouped(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFr
 
 def near_grouped(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id of every row, texts being linked by their fingerprints or as near copies (near_copies.py)."""
-    sketched = near_copies.sketches(docs, fingerprint, text)
-    texts = written(sketched.groupBy("t").agg(F.first("fp").alias("fp")), "near-texts")
-    heads = written(texts.groupBy("fp").agg(F.min("t").alias("head")), "near-heads")
-    alike = texts.join(heads, "fp").filter("t <> head").select(F.col("t").alias("u"), F.col("head").alias("v"))
-    of = lambda c, to: heads.select(F.col("fp").alias(c), F.col("head").alias(to))
-    # one thing after the other: side by side these jobs take the executors' memory together
-    near = near_copies.near_links(sketched)
-    within = written(links(heads.select("fp"), radius), "near-within").join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
-    roots = components(alike.union(within).union(near))
-    rows = docs.select("doc_id", text_hash(text).alias("_t"))
-    rows = written(rows.join(roots, F.col("_t") == F.col("u"), "left").select("doc_id", F.coalesce("v", "_t").alias("root")), "near-roots")
-    lowest = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-lowest")
+    with scratch() as kept:
+        sketched = near_copies.sketches(docs, fingerprint, text)
+        texts = written(sketched.groupBy("t").agg(F.first("fp").alias("fp")), "near-texts")
+        heads = written(texts.groupBy("fp").agg(F.min("t").alias("head")), "near-heads")
+        alike = texts.join(heads, "fp").filter("t <> head").select(F.col("t").alias("u"), F.col("head").alias("v"))
+        of = lambda c, to: heads.select(F.col("fp").alias(c), F.col("head").alias(to))
+        # one thing after the other: side by side these jobs take the executors' memory together
+        with scratch() as links_kept:
+            near = written(near_copies.near_links(sketched), "near-all-links")
+            links_kept.append(near)
+        within = written(links(heads.select("fp"), radius), "near-within").join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+        roots = components(alike.union(within).union(near))
+        rows = docs.select("doc_id", text_hash(text).alias("_t"))
+        rows = written(rows.join(roots, F.col("_t") == F.col("u"), "left").select("doc_id", F.coalesce("v", "_t").alias("root")), "near-roots")
+        lowest = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-lowest")
+        kept += [rows, lowest]
     return rows.join(lowest, "root").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """Of each group of near copies (near_grouped) the row with the smallest doc_id (one of them, if the id repeats), with
     all its columns."""
-    keep = near_grouped(docs, text).select(F.col("component_id").alias("_keep")).filter("_keep is not null").distinct()
-    rows = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    (name,) = unused(docs.columns, "_keep")
+    keep = near_grouped(docs, text).select(F.col("component_id").alias(name)).filter(F.col(name).isNotNull()).distinct()
+    rows = docs.join(keep, F.col("doc_id") == F.col(name), "left_semi")
     alone = docs.filter("doc_id is null")
     return rows.dropDuplicates(["doc_id"]).unionByName(alone.dropDuplicates([text]))
 

@@ -16,9 +16,9 @@ no group is held in memory.
 
 Defined cases: a null or empty text has no words; rows with equal doc_id and text are
 one document, each row gets its result; among rows with one doc_id and different
-texts the smaller text hash is earlier; a null id is the smallest; documents under
-SPAN words have no window; an empty table gives no row; extra columns are kept by
-deduplicated() and ignored by the query.
+texts the smaller text hash is earlier; a null id is the smallest; ids that aren't whole
+numbers are refused; documents under SPAN words have no window; an empty table gives no
+row; extra columns are kept, whatever their names, by deduplicated() and ignored by the query.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import bounded, encoded, id_key, mix64, split_all, starts_of, table, text_bytes, text_hash, with_n_chars, written
+from ledgerflow.llm.common import bounded, encoded, id_key, mix64, numbered, scratch, split_all, starts_of, table, text_bytes, text_hash, unused, with_n_chars, written
 
 SPAN, K, CHUNK_WORDS = 20, 6, 400_000
 NO_ID = -(2**63)
@@ -45,8 +45,9 @@ _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({"_k1": id_key(), "_k2": text_hash(text)})
+def _keyed(docs: DataFrame, text: str, names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
+    """docs with keys, whose names no column may have."""
+    return docs.withColumns({names[0]: id_key(docs), names[1]: text_hash(text)})
 
 
 def _packed(at: int):
@@ -288,7 +289,7 @@ def _later(batches):
 
 def drawn(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document's key, words and anchors, as a written table."""
-    rows = _keyed(docs, text).select("doc_id", "_k1", "_k2", text_bytes(text).alias("_text"))
+    rows = _keyed(docs.select("doc_id", F.col(text).alias("text")), "text").select("doc_id", "_k1", "_k2", text_bytes().alias("_text"))
     longs = T.ArrayType(T.LongType())
     kind = T.StructType([rows.schema["doc_id"], *[T.StructField(c, t) for c, t in (("k1", T.LongType()), ("k2", T.LongType()), ("n_words", T.LongType()), ("sha", T.StringType()), ("once", longs), ("many", longs), ("own", longs))]])
     return written(rows.mapInArrow(_draw, kind), "substrings-drawn")
@@ -304,7 +305,7 @@ def suspects(docs: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame
     flagged = replies.groupBy("g").agg(F.collect_list("a").alias("anchors"))
     flagged = flagged.union(edges.filter(F.size("own") > 0).select(g, F.col("own").alias("anchors")))
     flagged = flagged.groupBy("g").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    rows = _keyed(docs, text).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text_bytes(text).alias("text"))
+    rows = _keyed(docs.select("doc_id", F.col(text).alias("text")), "text").select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text_bytes().alias("text"))
     rows = rows.mapInArrow(_packed(2), "k1 long, k2 long, text binary").withColumn("_g", g)
     joined = rows.join(flagged.hint("merge"), F.col("_g") == F.col("g"))
     return written(joined.select("k1", "k2", "anchors", "text"), "substrings-suspects")
@@ -354,25 +355,27 @@ def without(text: bytes, lost) -> bytes:
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, their texts without words that repeat earlier ones; texts without such words are as they were."""
-    lost = lost_windows(suspects(docs, drawn(docs, text), text))
+    with scratch() as kept:
+        kept.append(found := suspects(docs, drawn(docs, text), text))
+    lost = lost_windows(found)
     names, at = docs.columns, docs.columns.index(text)
     bounded(docs.sparkSession)
-    rows = _keyed(docs, text)
-    packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema])
-    rows = rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(_packed(at), packed)
-    lost = lost.select(F.col("k1").alias("_l1"), F.col("k2").alias("_l2"), F.col("lost").alias("_lost")).hint("merge")
-    rows = rows.join(lost, (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")), "left")
-    rows = rows.select(*[F.col(c) for c in names], "_lost")
-    kind = docs.schema
+    k1, k2 = unused(names, "_k1", "_k2")
+    rows = numbered(_keyed(docs, text, (k1, k2)).withColumn(text, F.col(text).cast("binary")))
+    rows = rows.mapInArrow(_packed(at), rows.schema)
+    own, (k1, k2) = rows.columns[:-2], rows.columns[-2:]
+    lost = lost.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "lost").hint("merge")
+    rows = rows.join(lost, (F.col(k1) == F.col("l1")) & (F.col(k2) == F.col("l2")), "left").select(*own, "lost")
+    kind = numbered(docs).schema
 
     def run(batches):
         for b in batches:
             cols, lists = b.columns[:-1], b.column(b.num_columns - 1).to_pylist()
             texts = [t if t is None or x is None else without(t, x) for t, x in zip(_opened(cols[at].to_pylist()), lists)]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=own)
 
-    return with_n_chars(rows.mapInArrow(run, kind), text)
+    return with_n_chars(rows.mapInArrow(run, kind).toDF(*names), text)
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:

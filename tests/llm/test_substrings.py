@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import substrings as S
 
@@ -46,3 +47,11 @@ def test_texts_lose_their_repeats(docs, corpus):
 
 def test_nothing(no_docs):
     assert S.judged(no_docs).count() == 0 and S.deduplicated(no_docs).count() == 0
+
+
+def test_clashing_names_and_refused_ids(docs):
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in ("_k1", "_k2", "_l1", "_l2", "_lost", "a.b")])
+    got, want = S.deduplicated(odd), S.deduplicated(docs)
+    assert got.columns == odd.columns and sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, want.select("doc_id", "text").collect()))
+    with pytest.raises(TypeError, match="whole numbers"):
+        S.drawn(docs.withColumn("doc_id", F.lit("x")))
