@@ -7,18 +7,23 @@ tree over the shards splits the totals by multivariate hypergeometric draws, whi
 is the multinomial's law under fixed sums, so that every shard can be computed on
 its own from the seed. Slot j of a source holds block perm(j) of that source;
 perm is a keyed permutation of the source's block numbers (another for each
-epoch), so a block recurs only after all others were used. Slots and documents'
-blocks then meet in an equi-join on (source, block).
+epoch), so a block recurs only after all others were used. A source's last slot is
+cut so that its words are the target, rounded. Slots and documents' blocks then
+meet in an equi-join on (source, block).
 
 Defined cases: a null text has no words and is never taken; null is a source of
 its own, the last; repeated rows count and are taken each on its own; a source
-without words has target 0; an empty table gives no row; extra columns are ignored.
+without words has target 0; a null id comes first; ids that aren't whole numbers are
+refused; an empty table gives no row; extra columns are ignored by the query and kept,
+whatever their names, by mixed_documents().
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerflow.llm.common import bounded, id_key, n_words, table, text_hash, with_n_chars, written
+from ledgerflow.llm.common import bounded, id_key, n_words, numbered, table, text_hash, unused, with_n_chars, written
 
 #: Words in a block, and slots of a shard.
 BLOCK = 64
@@ -60,19 +65,22 @@ def _key(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
 
 
-def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
-    """perm(j) for j in [0, n): a four-round Feistel network on the least even number of bits, walked until inside."""
+def permuted(j: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
+    """perm(j) for j in [0, n): a four-round Feistel network on the least even number of bits, walked until inside. inverse: the
+    j of which perm(j) is given."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask, out = np.uint64((1 << half) - 1), j.astype(np.uint64)
     todo = np.arange(len(out))
+
+    def mixed_in(x, r):
+        f = (x + np.uint64((key + r * 0x9E3779B97F4A7C15) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        f ^= f >> np.uint64(29)
+        return ((f * np.uint64(0x94D049BB133111EB)) >> np.uint64(31)) & mask
+
     while len(todo):
-        x = out[todo]
-        left, right = x >> np.uint64(half), x & mask
-        for r in range(4):
-            f = (right + np.uint64((key + r * 0x9E3779B97F4A7C15) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            f ^= f >> np.uint64(29)
-            f *= np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((f >> np.uint64(31)) & mask)
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in (3, 2, 1, 0) if inverse else range(4):
+            left, right = (right ^ mixed_in(left, r), left) if inverse else (right, left ^ mixed_in(right, r))
         out[todo] = (left << np.uint64(half)) | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
@@ -85,7 +93,7 @@ def shard_counts(shard: int, n_shards: int, counts: list[int], seed: int = SEED)
     while hi - lo > 1:
         mid = (lo + hi) // 2
         take = (int(have.sum()) * (mid - lo)) // (hi - lo)
-        left = _draw(np.random.default_rng(_key(seed, lo, hi)), have, take)
+        left = np.array(_draw(seed, lo, hi, tuple(have.tolist()), take), np.int64)
         if shard < mid:
             have, hi = left, mid
         else:
@@ -93,36 +101,65 @@ def shard_counts(shard: int, n_shards: int, counts: list[int], seed: int = SEED)
     return have, before
 
 
-def _draw(rng, have: np.ndarray, take: int) -> np.ndarray:
-    out, rest = np.zeros_like(have), int(have.sum())
-    for i, n in enumerate(have):
-        rest -= int(n)
-        if take and n:
-            if n + rest < 10**9:
-                out[i] = rng.hypergeometric(int(n), rest, take) if rest else take
-            else:  # beyond the sampler's range: its normal limit, held to what is possible
-                p, all_ = n / (n + rest), n + rest
-                sd = (take * p * (1 - p) * (all_ - take) / max(all_ - 1, 1)) ** 0.5
-                out[i] = min(max(round(take * p + sd * rng.standard_normal()), take - rest, 0), n, take)
-            take -= int(out[i])
-    return out
-
-
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", source: str = "source") -> tuple[DataFrame, list[dict]]:
+@lru_cache(256)  # shards beside each other share all draws but the last
+def _draw(seed: int, lo: int, hi: int, have: tuple[int, ...], take: int) -> tuple[int, ...]:
+    """How many of each source's slots are among take of all of them."""
+    rng, out, rest = np.random.default_rng(_key(seed, lo, hi)), [], sum(have)
+    for n in have:
+        rest -= n
+        out.append(hypergeometric(rng.random(), n, rest, take))
+        take -= out[-1]
+    return tuple(out)
+
+
+def hypergeometric(u: float, good: int, bad: int, take: int) -> int:
+    """The value of the hypergeometric law at u in [0, 1), by inversion from its mode. Numbers of any size; what lies beyond
+    14 deviations and 40, which is less than a double can hold beside 1, counts as impossible."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    n = good + bad
+    mode = min(max((take + 1) * (good + 1) // (n + 2), low), high)
+    reach = 40 + math.ceil(14 * math.sqrt(take * (good / n) * (bad / n) * ((n - take) / max(n - 1, 1))))
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((take - k) / (bad - take + k + 1))  # of P(k + 1) / P(k)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(below, u * below[-1], "right")), high - low)
+
+
+def slots_of(no: int, size: int, target: float, seed: int = SEED) -> tuple[int, int]:
+    """How many slots a source has, and how many words of the last one's block are left out, so that target (rounded) are taken."""
+    words, blocks = round(target), -(-size // BLOCK)
+    if not size or not words:
+        return 0, 0
+    epoch, words = divmod(words - 1, size)
+    words += 1  # of the last epoch, 1 to size
+    short = size - (blocks - 1) * BLOCK  # what the last block has
+    at = int(permuted(np.array([blocks - 1]), blocks, _key(seed, no, epoch), inverse=True)[0])
+    n = -(-words // BLOCK)
+    if at < n:  # the last block is among them
+        n = max(at + 1, -(-(words + BLOCK - short) // BLOCK))
+    return epoch * blocks + n, n * BLOCK - (BLOCK - short if at < n else 0) - words
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", source: str = "source", seed: int = SEED) -> tuple[DataFrame, list[dict]]:
     """The documents' places in their sources' streams, and the sources with size, target, blocks and slots.
 
     Sources are collected to the driver: they number as the corpora that are mixed, not as their documents."""
-    base = docs.select("doc_id", F.col(source).alias("source"), n_words(text).alias("size"), id_key().alias("k1"), text_hash(text).alias("k2"))
+    base = docs.select("doc_id", F.col(source).cast("string").alias("source"), n_words(text).alias("size"), id_key(docs).alias("k1"), text_hash(text).alias("k2"))
     n = docs.select(F.lit(1)).count()
     pieces = max(64, -(-n // PIECE_DOCS))
-    base = written(base.withColumn("piece", F.pmod(F.xxhash64("k1", "size"), F.lit(pieces)).cast("int")), "mix-sizes")
+    base = written(base.withColumn("piece", F.pmod(F.xxhash64("k1", "k2", "size"), F.lit(pieces)).cast("int")), "mix-sizes")
     per = written(base.groupBy("source", "piece").agg(F.sum("size").alias("words")), "mix-pieces")
     found = sorted(((r.source, int(r.words)) for r in per.groupBy("source").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     target = targets_for([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], share * sum(s for _, s in found), most)
     sources = []
     for i, ((name, size), t) in enumerate(zip(found, target)):
         blocks = -(-size // BLOCK)
-        sources.append({"no": i, "source": name, "size": size, "target": t, "blocks": blocks, "slots": min(int(most) * blocks, round(t / size * blocks)) if size else 0})
+        n, unused_words = slots_of(i, size, t, seed)
+        sources.append({"no": i, "source": name, "size": size, "target": t, "blocks": blocks, "slots": n, "cut": unused_words})
     dim = _dimension(docs.sparkSession, sources)
     within = W.partitionBy("piece", "source").orderBy("k1", "size", "k2")
     placed = base.repartition(F.col("piece")).withColumn("_end", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)))
@@ -140,8 +177,10 @@ def _dimension(spark: SparkSession, sources: list[dict]) -> DataFrame:
 
 
 def slots(spark: SparkSession, sources: list[dict], seed: int = SEED) -> DataFrame:
-    """Every slot of the mix: shard, no (the source's), epoch, block."""
+    """Every slot of the mix: shard, no (the source's), epoch, block and upto, how many of the block's words are taken."""
     counts, blocks = [s["slots"] for s in sources], [s["blocks"] for s in sources]
+    ends = [s["size"] - (s["blocks"] - 1) * BLOCK for s in sources]
+    cuts = [s["cut"] for s in sources]
     n_shards = max(1, -(-sum(counts) // SHARD_SLOTS))
 
     def run(frames):
@@ -155,25 +194,27 @@ def slots(spark: SparkSession, sources: list[dict], seed: int = SEED) -> DataFra
                     for e in np.unique(epoch):
                         at = epoch == e
                         block[at] = permuted(j[at] % blocks[no], blocks[no], _key(seed, int(no), int(e)))
-                    yield pd.DataFrame({"shard": np.int64(shard), "no": np.int32(no), "epoch": epoch.astype(np.int32), "block": block})
+                    upto = np.where(block == blocks[no] - 1, ends[no], BLOCK) - np.where(j == counts[no] - 1, cuts[no], 0)
+                    yield pd.DataFrame({"shard": np.int64(shard), "no": np.int32(no), "epoch": epoch.astype(np.int32), "block": block, "upto": upto.astype(np.int32)})
 
-    return spark.range(0, n_shards, 1, min(n_shards, 4096)).mapInPandas(run, "shard long, no int, epoch int, block long")
+    return spark.range(0, n_shards, 1, min(n_shards, 4096)).mapInPandas(run, "shard long, no int, epoch int, block long, upto int")
 
 
 def spans(placed: DataFrame) -> DataFrame:
-    """The parts of each document that lie in one block: first and length count the document's own words."""
+    """The parts of each document that lie in one block: first and length count the document's own words, skip the block's before."""
     last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK).cast("long")
     first = F.floor(F.col("start") / BLOCK).cast("long")
     cut = placed.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * BLOCK)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return cut.select("doc_id", "k1", "k2", "no", "size", "start", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("length"))
+    return cut.select("doc_id", "k1", "k2", "no", "size", "start", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("length"), (begin - F.col("block") * BLOCK).alias("skip"))
 
 
 def mixed(placed: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame:
     """The mix: a row for each slot and document in its block, with shard, epoch, first and length."""
     # the slots grow with the input, which Spark can't see from their few seed rows: never broadcast
-    return spans(placed).join(slots(placed.sparkSession, sources, seed).hint("merge"), ["no", "block"])
+    rows = spans(placed).join(slots(placed.sparkSession, sources, seed).hint("merge"), ["no", "block"]).filter("skip < upto")
+    return rows.withColumn("length", F.least(F.col("length"), F.col("upto") - F.col("skip"))).drop("skip", "upto")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,12 +238,15 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     """The mix as documents: for each document and epoch the words taken, with the document's other columns (n_chars, if
     there, counts the new text). Rows with equal doc_id and text are told apart by their place in the stream alone."""
     placed, sources = plan(docs, text=text, source=source, **how)
-    rows = mixed(written(placed, "mix-placed"), sources).groupBy("k1", "k2", "start", "epoch")
+    rows = mixed(written(placed, "mix-placed"), sources, how.get("seed", SEED)).groupBy("k1", "k2", "start", "epoch")
     rows = rows.agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("length").cast("int").alias("length"))).alias("_parts"))
-    rows = rows.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_parts").hint("merge")
-    texts = docs.withColumns({"_d1": id_key(), "_d2": text_hash(text)}).dropDuplicates(["_d1", "_d2"])
-    rows = texts.join(rows, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*[F.col(c) for c in docs.columns], "_parts")
+    rows = rows.select("k1", "k2", F.col("_parts").alias("parts")).hint("merge")
     names, at = docs.columns, docs.columns.index(text)
+    d1, d2 = unused(names, "_d1", "_d2")
+    texts = numbered(docs.withColumns({d1: id_key(docs), d2: text_hash(text)}))
+    own, (d1, d2) = texts.columns[:-2], texts.columns[-2:]
+    texts = texts.dropDuplicates([d1, d2])
+    rows = texts.join(rows, (F.col(d1) == F.col("k1")) & (F.col(d2) == F.col("k2"))).select(*own, "parts")
     bounded(docs.sparkSession)
 
     def run(batches):
@@ -211,9 +255,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
             parts = [[(p["first"], p["length"]) for p in x] for x in b.column(b.num_columns - 1).to_pylist()]
             new = [excerpt(t, p) for t, p in zip(cols[at].to_pylist(), parts)]
             cols[at] = pa.array(new, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=own)
 
-    return with_n_chars(rows.mapInArrow(run, docs.schema), text)
+    return with_n_chars(rows.mapInArrow(run, numbered(docs).schema).toDF(*names), text)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

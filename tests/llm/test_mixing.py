@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import mixing as M
 
@@ -13,7 +14,37 @@ def test_targets():
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(n):
-    assert sorted(M.permuted(np.arange(n), n, 99)) == list(range(n))
+    there = M.permuted(np.arange(n), n, 99)
+    assert sorted(there) == list(range(n)) and (M.permuted(there, n, 99, inverse=True) == np.arange(n)).all()
+
+
+@pytest.mark.parametrize("size", [1, 10, 63, 64, 65, 1000])
+def test_slots_take_the_target(spark, size):
+    for target in {1, size // 2, size - 1, size, size + 1, 2 * size - 1, 2 * size} - {0}:
+        n, cut = M.slots_of(0, size, target)
+        blocks = -(-size // M.BLOCK)
+        rows = M.slots(spark, [{"size": size, "target": target, "blocks": blocks, "slots": n, "cut": cut}]).collect()
+        assert sum(r.upto for r in rows) == target and all(r.upto > 0 for r in rows) and len(rows) == n <= 2 * blocks
+
+
+def test_hypergeometric_law():
+    import math
+
+    good, bad, take = 7, 5, 6
+    p = [math.comb(good, k) * math.comb(bad, take - k) / math.comb(good + bad, take) for k in range(7)] + [0.0]
+    u = (np.arange(100_000) + 0.5) / 100_000
+    got = np.bincount([M.hypergeometric(x, good, bad, take) for x in u[::10]], minlength=8) / 10_000
+    assert np.abs(got - p).max() < 1e-3 and M.hypergeometric(0.3, 5, 0, 3) == 3 and M.hypergeometric(0.3, 0, 5, 3) == 0
+    rng = np.random.default_rng(1)  # the same law for any size: mean and deviation
+    x = np.array([M.hypergeometric(rng.random(), 3 * 10**10, 7 * 10**10, 10**10) for _ in range(200)])
+    assert abs(x.mean() - 3e9) < 5 * 43474 / 200**0.5 and 0.8 < x.std() / 43474 < 1.2
+
+
+def test_clashing_names_and_refused_ids(spark, docs):
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in ("_d1", "_d2", "_k1", "_k2", "_parts", "a.b", "piece", "no", "size")])
+    assert M.mixed_documents(odd).columns == odd.columns and M.mixed_documents(odd).count() == M.mixed_documents(docs).count()
+    with pytest.raises(TypeError, match="whole numbers"):
+        M.plan(docs.withColumn("doc_id", F.lit("x")))
 
 
 def test_shards_add_up():
@@ -40,7 +71,7 @@ def test_mix(docs, corpus):
     assert sum(s["target"] for s in sources) == pytest.approx(1.5 * sum(size.values()))
     taken = M.mixed(*M.plan(docs)).groupBy("no").sum("length").collect()
     for r in taken:
-        assert abs(r[1] - sources[r.no]["target"]) <= 2 * M.BLOCK + 0.02 * sources[r.no]["target"]
+        assert r[1] == round(sources[r.no]["target"])
 
 
 def test_documents_take_what_the_plan_says(docs, corpus):
