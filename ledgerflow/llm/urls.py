@@ -1,11 +1,11 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features.
 
 Rules decide first; the longest that fits wins. The URLs that rules decide are the
-labelled ones: the trees learn from at most FIT_ROWS of them (those with the
+labelled ones: the trees learn from at most FIT_ROWS different ones (those with the
 smallest hashed URLs, each verdict by its own half of the bound) and judge the rest.
 Suffix statistics, the share of blocked URLs among labelled ones with the same last
-host label, come from all labelled rows, smoothed, for the MOST_SUFFIXES most
-frequent suffixes; others have the overall share.
+host label, come from all labelled rows, smoothed; they are a table that is joined to
+the URLs, and suffixes without labelled URLs have the overall share.
 
 Defined cases: a null URL or one without "://" has an empty host and path, fits no
 rule and is judged by the trees; without labelled rows of both verdicts the trees
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ledgerflow.llm.common import table, written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-FIT_ROWS, MOST_SUFFIXES = 20000, 4096
+FIT_ROWS = 20000
 TREES, DEPTH, RATE, CUTS, RIDGE = 40, 3, 0.3, 32, 1.0
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "upper_ratio", "longest_run", "suffix_share")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,36 +130,46 @@ def parsed(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     return rows.withColumn("_given", verdict)
 
 
-def _suffix(host: str) -> str:
-    return host.rpartition(".")[2]
-
-
-def fit(rows: DataFrame) -> tuple[BoostedTrees, dict[str, float], float]:
-    """rows: as of parsed(). The trees, the share of blocked URLs by suffix, and overall."""
-    known = rows.filter("_given is not null")
+def with_shares(rows: DataFrame) -> DataFrame:
+    """rows (as of parsed()) with _share, the smoothed share of blocked URLs among the labelled ones of their suffix."""
     blocked = F.sum(F.when(F.col("_given") == "block", 1).otherwise(0))
-    per = known.groupBy(F.substring_index("host", ".", -1).alias("s")).agg(F.count(F.lit(1)).alias("n"), blocked.alias("b"))
-    per = per.orderBy(F.desc("n"), "s").limit(MOST_SUFFIXES).collect()
-    n, b = sum(r.n for r in per), sum(r.b for r in per)
+    suffix = F.substring_index("host", ".", -1)
+    per = written(rows.filter("_given is not null").groupBy(suffix.alias("_s")).agg(F.count(F.lit(1)).alias("_n"), blocked.alias("_b")), "url-suffixes")
+    n, b = per.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_b"), F.lit(0))).first()
     overall = (b + 1) / (n + 2)
-    share = {r.s: (r.b + 10 * overall) / (r.n + 10) for r in per}
-    picked = []
-    for v in ("allow", "block"):
-        picked += known.filter(F.col("_given") == v).orderBy(F.xxhash64("url"), "url").limit(FIT_ROWS // 2).select("url", "host", "path", "_given").collect()
-    x = np.array([[*lexical(r.url, r.host, r.path), share.get(_suffix(r.host), overall)] for r in picked]).reshape(-1, len(FEATURES))
-    return BoostedTrees(x, np.array([float(r._given == "block") for r in picked])), share, overall
+    share = F.coalesce((F.col("_b") + 10 * overall) / (F.col("_n") + 10), F.lit(overall))
+    return rows.join(per, suffix == F.col("_s"), "left").select(*rows.columns, share.alias("_share"))
+
+
+def _features(b: pa.RecordBatch) -> np.ndarray:
+    cols = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("url", "host", "path", "_share"))
+    return np.array([[*lexical(u, h, p), x] for u, h, p, x in zip(*cols)]).reshape(-1, len(FEATURES))
+
+
+def fit(rows: DataFrame) -> BoostedTrees:
+    """rows: as of with_shares()."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(_features(b)), pa.list_(pa.float64()))], names=["x"])
+
+    x, y = [], []
+    for k, v in enumerate(("allow", "block")):
+        some = rows.filter(F.col("_given") == v).select("url", "host", "path", "_share").distinct().orderBy(F.xxhash64("url"), "url").limit(FIT_ROWS // 2)
+        found = some.mapInArrow(run, "x array<double>").collect()  # numbers, whatever the URLs' lengths
+        x += [r.x for r in found]
+        y += [float(k)] * len(found)
+    return BoostedTrees(np.array(x).reshape(-1, len(FEATURES)), np.array(y))
 
 
 def judged(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and block_score (the trees' probability of block) of every row."""
-    rows = written(parsed(pages, url, rules), "urls")
-    trees, share, overall = fit(rows)
+    rows = with_shares(written(parsed(pages, url, rules), "urls"))
+    trees = fit(rows)
 
     def run(batches):
         for b in batches:
-            u, h, p = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("url", "host", "path"))
-            x = np.array([[*lexical(*r), share.get(_suffix(r[1]), overall)] for r in zip(u, h, p)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(trees.score(x))], names=[*b.schema.names, "block_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(trees.score(_features(b)))], names=[*b.schema.names, "block_score"])
 
     scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("block_score", T.DoubleType())]))
     learned = F.when(F.col("block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))

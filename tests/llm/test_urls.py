@@ -42,3 +42,13 @@ def test_held_out_urls(spark):
 
 def test_nothing(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_one_url_often_and_many_suffixes(spark):
+    """A URL that repeats counts once in the sample; every suffix has its share."""
+    rows = [(i, "http://a.com/x") for i in range(3000)] + [(i, f"http://h{i}.com/{i}") for i in range(50)] + [(i, f"http://h{i}.net/fr/{i}") for i in range(50)] + [(0, None)]
+    known = U.parsed(spark.createDataFrame(rows, "page_id long, url string"))
+    shares = {r._s: r._share for r in U.with_shares(known).selectExpr("substring_index(host, '.', -1) as _s", "_share").distinct().collect()}
+    overall = 51 / 3102
+    assert abs(shares["com"] - 10 * overall / 3060) < 1e-12 and abs(shares["net"] - (50 + 10 * overall) / 60) < 1e-12 and shares[""] == overall
+    assert U.fit(U.with_shares(known)).trees
