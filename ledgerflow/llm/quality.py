@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import bounded, encoded, split_all, starts_of, table, text_bytes, written
+from ledgerflow.llm.common import bounded, encoded, numbered, split_all, starts_of, table, text_bytes, written
 
 FIT_ROWS, TREES, SUBSAMPLE, SEED = 4096, 100, 256, 11
 MARGIN, EXTRA_DEPTH = 0.3, 4
@@ -54,7 +54,11 @@ def rule_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             c = own
         repeated = 0
         if n >= 3:
-            key = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+            if len(each) < 1 << 21:
+                key = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+            else:  # three numbers don't fit in 63 bits: neighbours get a number first
+                _, pair = np.unique((c[:-1] << 32) | c[1:], return_inverse=True)
+                key = (pair[:-1] << 32) | c[2:]
             order = np.argsort(key, kind="stable")
             s = key[order]
             same = s[1:] == s[:-1]
@@ -216,7 +220,7 @@ def filtered(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
             counts, feats = rule_statistics([t or b"" for t in b.column(at).cast(pa.large_binary()).to_pylist()])
             yield b.filter(pa.array(~_base_failed(counts) & (forest.score(feats) < most)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, numbered(docs).schema).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,10 @@ def test_edges(spark, docs, corpus, no_docs):
         rows = Q.judged(docs, labels).collect()
         assert len(rows) == len(corpus) and all(not r.kept for r in rows if r.n_words < Q.MIN_WORDS)
     assert Q.judged(no_docs, none).count() == 0 and Q.filtered(no_docs, none).count() == 0
+
+
+def test_more_words_than_21_bits_number():
+    n = (1 << 21) + 20
+    text = b" ".join(b"%d" % i for i in range(n))
+    counts, _ = Q.rule_statistics([text, b"a b c a b c"])
+    assert counts[0].tolist()[0] == n and counts[0, 4] == 0 and counts[1, 4] == 6
