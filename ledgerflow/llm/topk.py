@@ -178,7 +178,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float =
     q = q.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     c = usable(candidates, id_col, vec_col).mapInPandas(_pack(BLOCK_ROWS, scale), PACKED)
     c = c.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
-    pairs = q.hint("merge").join(c, ["cell", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
+    # one key and a number of partitions: the work is in the scores, so cells aren't put together by their bytes
+    slot = (F.col("cell").cast("long") * 2**31 + F.col("dim")).alias("slot")
+    q, c = (x.select(slot, *[k for k in x.columns if k != "cell"]).repartition(cells, "slot") for x in (q, c.withColumnRenamed("dim", "c_dim").withColumn("dim", F.col("c_dim"))))
+    pairs = q.hint("merge").join(c.drop("dim"), "slot").select("dim", "q_ids", "q_data", "ids", "data")
     found = pairs.mapInPandas(_pairs(k), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
