@@ -12,9 +12,11 @@ MONTHS = {
     "сентябрь": 9, "сентября": 9, "октябрь": 10, "октября": 10, "ноябрь": 11, "ноября": 11, "декабрь": 12, "декабря": 12,
 }
 
-_TIME = r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
+_TIME = r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?))?$"
 DAY_FIRST = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})" + _TIME
 YEAR_FIRST = r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})" + _TIME
+#: Two digits are a year from 1969 to 2068.
+SHORT_YEARS = ((r"^((?:[0-5]\d|6[0-8])-\d{1,2}-)", "20$1"), (r"^((?:69|[7-9]\d)-\d{1,2}-)", "19$1"))
 
 
 def as_date(c: Column) -> Column:
@@ -39,30 +41,26 @@ def month_of_text(c: Column, fmt: str = "dd.MM.yyyy") -> Column:
 
 
 def parse_date(c: Column, strict: bool = True) -> Column:
-    """Day-first dates, "<month> <year>" and "<day> <month> <year>" with Russian month names; blank is null.
-    What else there is raises, or is null if not strict."""
+    """A time (timestamp_ntz) from a day-first or year-first date, with or without a time of day, or from "<month> <year>" and
+    "<day> <month> <year>" with Russian month names; blank is null. What else there is raises, or is null if not strict."""
+    s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # a pattern that doesn't match leaves the text as it is, so one pass both tests and rewrites
+    iso = F.regexp_replace(F.regexp_replace(s, DAY_FIRST, "$3-$2-$1 $4"), YEAR_FIRST, "$1-$2-$3 $4")
+    for pattern, to in SHORT_YEARS:
+        iso = F.regexp_replace(iso, pattern, to)
     names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    named = r"^(?:(\d{1,2}) )?([а-яё]+) (\d{4})$"
-    part = lambda of, pattern, i: F.nullif(F.regexp_extract(of, pattern, i), F.lit(""))
-
-    def in_words(n: Column) -> Column:
-        return F.when(F.rlike(n, F.lit(named)), F.concat(part(n, named, 3), F.lit("-"), F.try_element_at(names, part(n, named, 2)).cast("string"), F.lit("-"), F.coalesce(part(n, named, 1), F.lit("1"))))
-
-    def parts(s: Column) -> Column:
-        norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), r"(?<![а-яё])г\.?(?![а-яё])", ""), r"\s+", " "), r"^[ .]+|[ .]+$", "")
-        year = F.regexp_replace(part(s, DAY_FIRST, 3), r"^(\d\d)$", "20$1")
-        day_first = F.concat_ws("-", year, part(s, DAY_FIRST, 2), part(s, DAY_FIRST, 1))
-        year_first = F.concat_ws("-", part(s, YEAR_FIRST, 1), part(s, YEAR_FIRST, 2), part(s, YEAR_FIRST, 3))
-        return F.when(F.rlike(s, F.lit(DAY_FIRST)), day_first).when(F.rlike(s, F.lit(YEAR_FIRST)), year_first).otherwise(_let(norm, in_words))
-
-    def read(s: Column) -> Column:
-        # a text is of one form at most and is parsed once: failed parses cost exceptions
-        found = F.call_function("try_to_date", parts(s), F.lit("yyyy-M-d"))
-        if strict:
-            found = F.coalesce(found, F.raise_error(F.concat(F.lit("cannot read a date from "), s)).cast("date"))
-        return F.when(s.isNull() | (s == ""), F.lit(None).cast("date")).otherwise(found)
-
-    return _let(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), read)
+
+    def in_words(parts: Column) -> Column:
+        day = F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")), F.lit("1"))
+        return F.concat(F.get(parts, F.lit(0)), F.lit("-"), F.try_element_at(names, F.get(parts, F.lit(1))).cast("string"), F.lit("-"), day)
+
+    norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), r"(?<![а-яё])г\.?(?![а-яё])", ""), r"\s+", " "), r"^[ .]+|[ .]+$", "")
+    worded = _let(F.split(F.regexp_replace(norm, r"^(?:(\d{1,2}) )?([а-яё]+) (\d{4})$", "$3 $2 $1"), " "), in_words)
+    text = F.when(F.rlike(iso, F.lit(r"^\d{4}-")), F.trim(iso)).otherwise(worded)
+    found = text.try_cast("timestamp_ntz")
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("cannot read a date from "), s)).cast("timestamp_ntz"))
+    return F.when(s.isNull() | (s == ""), F.lit(None).cast("timestamp_ntz")).otherwise(found)
 
 
 def _let(value: Column, body) -> Column:

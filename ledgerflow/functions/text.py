@@ -48,16 +48,20 @@ def hierarchy_label(c: Column) -> Column:
 
 
 def duration_minutes(c: Column) -> Column:
-    """Whole minutes of a text such as "2 часа 15 минут". Null is 0, unknown units count nothing."""
-    text = F.lower(c)
+    """Whole minutes: of a text such as "2 часа 15 минут", or a number (or bool), which is cut to a whole one. Null is 0, unknown
+    units count nothing."""
+    text = F.lower(c.cast("string"))
     units = F.create_map(*[F.lit(x) for pair in ((k, float(v)) for k, v in UNIT_MINUTES.items()) for x in pair])
-    pattern = r"(\d+)\s*([а-яА-Я]+)"
+    pattern = r"(\d+)\s*([а-яА-Я]+)"  # fixed value: a number and its unit
     parts = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(2)),
         lambda n, u: n.cast("double") * F.coalesce(F.try_element_at(units, u), F.lit(0.0)),
     )
-    return F.coalesce(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).cast("int"), F.lit(0))
+    in_words = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).cast("int")
+    number = F.when(~F.rlike(F.typeof(c), F.lit("^(string|char|varchar|void)")), c.cast("string").try_cast("double").try_cast("int"))
+    number = F.coalesce(number, F.when(F.typeof(c) == "boolean", (c.cast("string") == "true").cast("int")))
+    return F.coalesce(number, in_words, F.lit(0))
 
 
 def first_date_text(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def bounds(df: DataFrame, column: str, low: str = "low", high: str = "high") ->
     return df.agg(F.min(quoted(column)).alias(low), F.max(quoted(column)).alias(high))
 
 
+def bounds_across(ranges: list[tuple[DataFrame, str]], low: str = "low", high: str = "high") -> DataFrame:
+    """The least and the greatest value of all (table, column) pairs; tables without values don't count."""
+    each = [bounds(df, column, low, high) for df, column in ranges]
+    return reduce(DataFrame.unionAll, each).agg(F.min(quoted(low)).alias(low), F.max(quoted(high)).alias(high))
+
+
 def null_count(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(quoted(c).isNull()).alias(c) for c in columns])
 
@@ -38,8 +46,8 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def collapse_extremes(df: DataFrame, keys: list[str], stages: list[str], position: str) -> DataFrame:
     """One row for each group: every stage has the smaller of what the group's sparsest and densest rows have (the rows with
-    the fewest and the most non-null stages; the first by position of several). Both rows come from one map-side
-    combined aggregate over structs, so the group is never sorted or joined to itself."""
+    the fewest and the most non-null stages; the first by position of several). Both rows come from one aggregate over structs,
+    combined before the shuffle (Spark sorts by key for it, as structs aren't updated in place); no group is joined to itself."""
     filled = sum((quoted(c).isNotNull().cast("int") for c in stages), F.lit(0))
     row = [quoted(position).alias("_p"), *[quoted(c).alias(c) for c in stages]]
     sparse = F.min(F.struct(filled.alias("_n"), *row)).alias("_sparse")

@@ -54,16 +54,15 @@ def named_columns(header: list[str | None], policy: str = "error") -> list[tuple
 
 def required_columns(header: list[str | None], required: list[str], policy: str = "error") -> list[tuple[int, str]]:
     """(place, name) of the required columns, in the order asked for; others may repeat or lack a label."""
-    labels = [*map(normal_label, header)]
-    out = []
-    for name in required:
-        at = [i for i, x in enumerate(labels) if x == normal_label(name)]
-        if not at:
-            raise HeaderError(f"the header lacks {name!r}")
-        if len(at) > 1 and policy == "error":
-            raise HeaderError(f"the header has {name!r} more than once")
-        out.append((at[0], name))
-    return out
+    labels, wanted = [*map(normal_label, header)], [*map(normal_label, required)]
+    if twice := sorted({x for x in wanted if wanted.count(x) > 1}, key=str):
+        raise HeaderError(f"columns that are required more than once: {twice}")
+    at = {name: [i for i, x in enumerate(labels) if x == w] for name, w in zip(required, wanted)}
+    problems = [f"the header lacks {name!r}" for name, places in at.items() if not places]
+    problems += [f"the header has {name!r} more than once" for name, places in at.items() if len(places) > 1 and policy == "error"]
+    if problems:
+        raise HeaderError("; ".join(problems))
+    return [(places[0], name) for name, places in at.items()]
 
 
 def columns_for(raw: DataFrame, places: list[tuple[int, str]]) -> DataFrame:

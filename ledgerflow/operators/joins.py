@@ -7,7 +7,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.aggregates import quoted
@@ -23,7 +22,7 @@ def in_scope(df: DataFrame, scope: DataFrame, keys: list[str], null_keys: bool =
 
 
 def first_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Of each key's rows the first by position: a map-side combined minimum, not a sort of the group."""
+    """Of each key's rows the first by position: a minimum, combined before the shuffle, so a hot key sends a row per task."""
     rest = [c for c in df.columns if c not in keys]
     row = F.min(F.struct(quoted(position).alias("_p"), *[quoted(c).alias(c) for c in rest])).alias("_r")
     picked = df.groupBy(*map(quoted, keys)).agg(row)
@@ -58,7 +57,3 @@ def missing_keys(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """current with the rows of changes in place of those with the same keys, and the new ones."""
     return missing_keys(current, changes, keys).unionByName(changes.select(*map(quoted, current.columns)))
-
-
-def ranked(df: DataFrame, keys: list[str], position: str, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*map(quoted, keys)).orderBy(quoted(position))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from ledgerflow.operators.aggregates import quoted
 from ledgerflow.operators.projections import ContractError
 
 
@@ -24,3 +26,10 @@ def union_same(frames: list[DataFrame]) -> DataFrame:
 def union_aligned(frames: list[DataFrame]) -> DataFrame:
     """All rows; columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def levels_first(df: DataFrame, prefix: str = "lev.", rest: list[str] | None = None) -> DataFrame:
+    """The columns lev.1, lev.2, ... in order of their numbers, then the others (or those in rest)."""
+    levels = [c for c in df.columns if re.fullmatch(re.escape(prefix) + r"\d+", c)]
+    others = [c for c in df.columns if c not in levels] if rest is None else rest
+    return df.select(*[quoted(c) for c in (*sorted(levels, key=lambda c: int(c[len(prefix) :])), *others)])

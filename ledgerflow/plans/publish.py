@@ -33,6 +33,7 @@ from ledgerflow.operators.projections import TABLE_NAME, check_name
 
 MANIFEST, MARKER = "_MANIFEST.json", "_OWNER.json"
 STRATEGIES = ("replace", "refill")
+RESERVED = ("_locks",)
 
 
 class PublishError(RuntimeError):
@@ -82,6 +83,10 @@ class Publisher:
             raise PublishError(f"table {table!r} isn't published")
         return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(self._folder(table, entry["generation"]))
 
+    def schema_of(self, table: str) -> T.StructType:
+        """The live table's schema as recorded: nullability is as declared, which files don't keep."""
+        return T.StructType.fromJson(json.loads(self.manifest()["tables"][table]["schema"]))
+
     def provenance(self, table: str) -> dict:
         """Task, run, rows and time of the live generation."""
         e = self.manifest()["tables"][table]
@@ -116,10 +121,17 @@ class Publisher:
 
     # preparation
 
-    def preflight(self, tables: list[str], declared: dict[str, bool] | None = None, strategies: dict[str, str] | None = None) -> None:
-        """What can be wrong with names and strategies, before any work."""
+    def preflight(self, tables: list[str], declared: dict[str, bool] | None = None, strategies: dict[str, str] | None = None, columns: dict[str, list[str]] | None = None) -> None:
+        """What can be wrong with names of tables and columns, and with strategies, before any work."""
         for t in tables:
             check_name(t, TABLE_NAME)
+            if t in RESERVED:
+                raise PublishError(f"{t}: the publisher keeps its own files under that name")
+        for t, names in (columns or {}).items():
+            for c in names:
+                check_name(c)
+            if twice := sorted({c for c in names if names.count(c) > 1}):
+                raise PublishError(f"{t}: columns more than once: {', '.join(twice)}")
         if twice := sorted({t for t in tables if tables.count(t) > 1}):
             raise PublishError(f"tables more than once: {', '.join(twice)}")
         for t, s in (strategies or {}).items():
@@ -128,9 +140,12 @@ class Publisher:
             if s == "refill" and not (declared or {}).get(t):
                 raise PublishError(f"{t}: only declared schemas are refilled")
 
-    def stage(self, df: DataFrame, table: str, task: str, run: str, strategy: str = "replace") -> Staged:
-        """Writes a generation, counting rows on the way, and checks what is there to read."""
-        check_name(table, TABLE_NAME)
+    def stage(self, df: DataFrame, table: str, task: str, run: str, strategy: str = "replace", schema: T.StructType | None = None) -> Staged:
+        """Writes a generation, counting rows on the way, and checks what is there to read. schema: as declared, which is what is
+        recorded; else df's own, whose nullability is the plan's."""
+        self.preflight([table])
+        if schema is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in df.schema]:
+            raise PublishError(f"{table}: the rows don't have the declared schema")
         generation = f"gen={run}"
         folder = self._folder(table, generation)
         os.makedirs(folder, exist_ok=False)
@@ -144,7 +159,7 @@ class Publisher:
             raise PublishError(f"{table}: what was written has another schema")
         if back.count() != rows:
             raise PublishError(f"{table}: {rows} rows were written, others are there")
-        return Staged(table, generation, rows, df.schema.json(), strategy)
+        return Staged(table, generation, rows, (schema or df.schema).json(), strategy)
 
     def check_refill(self, s: Staged) -> None:
         """A refill keeps the live table's schema exactly: names, order, types and nullability."""

@@ -17,10 +17,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.operators.projections import Contract, project
 from ledgerflow.plans.publish import Busy, Publisher, Staged
-from ledgerflow.schema import Column, apply_inferred, enforce, infer_schema
+from ledgerflow.schema import Column, apply_inferred, enforce, infer_schema, struct_of
 from ledgerflow.sources import files as fs
 from ledgerflow.sources.csv import CsvOptions, read_csv, read_csv_set
 from ledgerflow.sources.xlsx import Workbook, read_workbooks
@@ -60,12 +61,12 @@ def _one(env: Environment, path: str) -> fs.FoundFile:
 
 
 def csv_file(name: str, path: str, options: CsvOptions = CsvOptions(), tracked: bool = True) -> Source:
-    return Source(name, lambda e: read_csv(e.spark, _one(e, path), options, position=True), (lambda e: fs.file_fingerprint(_one(e, path))) if tracked else None)
+    return Source(name, lambda e: read_csv(e.spark, _one(e, path), options, position=True, access=e.access), (lambda e: fs.file_fingerprint(_one(e, path))) if tracked else None)
 
 
 def latest_csv(name: str, folder: str, pattern: str = "*.csv", options: CsvOptions = CsvOptions(), tracked: bool = True, **how) -> Source:
     pick = lambda e: fs.latest_file(e.path(folder), pattern, access=e.access, **how)
-    return Source(name, lambda e: read_csv(e.spark, pick(e), options, position=True), (lambda e: fs.file_fingerprint(pick(e))) if tracked else None)
+    return Source(name, lambda e: read_csv(e.spark, pick(e), options, position=True, access=e.access), (lambda e: fs.file_fingerprint(pick(e))) if tracked else None)
 
 
 def csv_file_set(name: str, folder: str, pattern: str = "*.csv", options: CsvOptions = CsvOptions(), on_empty: str = "raise", tracked: bool = True, **how) -> Source:
@@ -76,17 +77,17 @@ def csv_file_set(name: str, folder: str, pattern: str = "*.csv", options: CsvOpt
 
 
 def xlsx_file(name: str, path: str, tracked: bool = True) -> Source:
-    return Source(name, lambda e: Workbook(e.spark, _one(e, path)), (lambda e: fs.file_fingerprint(_one(e, path))) if tracked else None)
+    return Source(name, lambda e: Workbook(e.spark, _one(e, path), e.access), (lambda e: fs.file_fingerprint(_one(e, path))) if tracked else None)
 
 
 def latest_xlsx(name: str, folder: str, pattern: str = "*.xlsx", tracked: bool = True, **how) -> Source:
     pick = lambda e: fs.latest_file(e.path(folder), pattern, access=e.access, **how)
-    return Source(name, lambda e: Workbook(e.spark, pick(e)), (lambda e: fs.file_fingerprint(pick(e))) if tracked else None)
+    return Source(name, lambda e: Workbook(e.spark, pick(e), e.access), (lambda e: fs.file_fingerprint(pick(e))) if tracked else None)
 
 
 def xlsx_file_set(name: str, folder: str, pattern: str = "*.xlsx", sheet: str | int = 0, on_empty: str = "raise", tracked: bool = True, **how) -> Source:
     found = lambda e: fs.file_set(e.path(folder), pattern, on_empty, access=e.access, **how)
-    return Source(name, lambda e: read_workbooks(e.spark, found(e), sheet), (lambda e: fs.set_fingerprint(found(e), e.path(folder), pattern, how.get("recursive", False))) if tracked else None)
+    return Source(name, lambda e: read_workbooks(e.spark, found(e), sheet, e.access), (lambda e: fs.set_fingerprint(found(e), e.path(folder), pattern, how.get("recursive", False))) if tracked else None)
 
 
 @dataclass(frozen=True)
@@ -178,6 +179,14 @@ def prepare(df: DataFrame, out: Output, at: dt.datetime) -> DataFrame:
     return df
 
 
+def declared_schema(df: DataFrame, out: Output) -> T.StructType | None:
+    """The declared schema with what is added to it, df being ready to be published."""
+    if out.schema is None:
+        return None
+    own = struct_of(out.schema)
+    return T.StructType([*own, *[f for f in df.schema if f.name not in own.names]])
+
+
 def validate(pipelines: list[type[Pipeline]], sources: dict[str, Source], publisher: Publisher | None) -> None:
     names = [p.__name__ for p in pipelines]
     if len(set(names)) != len(names):
@@ -189,7 +198,10 @@ def validate(pipelines: list[type[Pipeline]], sources: dict[str, Source], publis
     if published and publisher is None:
         raise SpecError("outputs are published, but there is no publisher")
     if publisher:
-        publisher.preflight([o.table for o in published], {o.table: o.schema is not None for o in published}, {o.table: o.strategy for o in published})
+        columns = {o.table: [c.name for c in o.schema or ()] or list(o.contract.columns.values() if isinstance(o.contract, Contract) else ()) for o in published}
+        for o in published:
+            columns[o.table] += [o.updated_at] if o.updated_at else []
+        publisher.preflight([o.table for o in published], {o.table: o.schema is not None for o in published}, {o.table: o.strategy for o in published}, columns)
 
 
 def run_pipelines(spark: SparkSession, task: str, pipelines: list[type[Pipeline]], sources: Iterable[Source] = (), publisher: Publisher | None = None, base_path: str | None = None, force: bool = False, access: fs.FileAccess | None = None, keep_snapshots: bool = False) -> RunResult:
@@ -247,7 +259,7 @@ def _run(ctx: Context, task: str, run: str, pipelines: list[type[Pipeline]], pub
                 write_xlsx(df, out.excel)
             if out.table:
                 ready = prepare(df, out, at)
-                s: Staged = publisher.stage(ready, out.table, task, run, out.strategy)
+                s: Staged = publisher.stage(ready, out.table, task, run, out.strategy, declared_schema(ready, out))
                 staged.append(s)
                 if out.strategy == "refill":
                     publisher.check_refill(s)

@@ -103,8 +103,8 @@ _DIM = "select n_nationkey, nullif(n_name, (select max(n_name) from nation where
 @query(f"""with d as ({_DIM}) select c_custkey, case when n_nationkey is not null then n_name else 'none' end as nation from customer left join d on c_nationkey = n_nationkey""")
 def lookup_default(spark, sf_dir):
     nation = t(spark, sf_dir, "nation")
-    hidden = nation.filter("n_regionkey = 1").agg(F.max("n_name").alias("h"))
-    dim = nation.filter("n_regionkey < 3").join(hidden).select("n_nationkey", F.nullif(F.col("n_name"), F.col("h")).alias("n_name"))
+    hidden = nation.filter("n_regionkey = 1").agg(F.max("n_name")).first()[0]
+    dim = nation.filter("n_regionkey < 3").select("n_nationkey", F.nullif(F.col("n_name"), F.lit(hidden)).alias("n_name"))
     return O.lookup(t(spark, sf_dir, "customer"), "c_nationkey", dim, "n_nationkey", "n_name", "nation", F.lit("none")).select("c_custkey", "nation")
 
 
@@ -205,7 +205,7 @@ _ERRORS = ", ".join("'" + x + "'" for x in X.ERROR_LITERALS)
 @query(f"""with d as (select c_custkey, {_DIRTY} as v from customer)
 select c_custkey, case when upper(replace(trim(v), ' ', '')) in ({_ERRORS}) then null else v end as cleaned, nullif(trim(case when upper(replace(trim(v), ' ', '')) in ({_ERRORS}) then null else v end), '') as text from d""")
 def error_literal_clean(spark, sf_dir):
-    v = F.expr(_DIRTY.replace("||", "||"))
+    v = F.expr(_DIRTY)
     cleaned = X.clean_errors(F.col("v"))
     return t(spark, sf_dir, "customer").select("c_custkey", v.alias("v")).select("c_custkey", cleaned.alias("cleaned"), X.blank_to_null(cleaned).alias("text"))
 
@@ -222,11 +222,11 @@ def sla_flags(spark, sf_dir):
     )
 
 
-@query("""select o_orderkey, (o_orderkey % 50 * 60 + o_orderkey % 60)::int as minutes, (o_orderkey % 90)::int / 60 as seconds, 0 as none from orders""".replace("(o_orderkey % 90)::int / 60", "((o_orderkey % 90) // 60)::int"))
+@query("""select o_orderkey, o_orderkey::int as number, (o_orderkey % 50 * 60 + o_orderkey % 60)::int as minutes, (o_orderkey % 90)::int / 60 as seconds, 0 as none from orders""".replace("(o_orderkey % 90)::int / 60", "((o_orderkey % 90) // 60)::int"))
 def text_to_minutes(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.concat((k % 50).cast("string"), F.lit(" Часов "), (k % 60).cast("string"), F.lit("минут, 5 дней"))
-    return t(spark, sf_dir, "orders").select("o_orderkey", X.duration_minutes(text).alias("minutes"), X.duration_minutes(F.concat((k % 90).cast("string"), F.lit(" секунд"))).alias("seconds"), X.duration_minutes(F.lit(None).cast("string")).alias("none"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", X.duration_minutes(k + 0.9).alias("number"), X.duration_minutes(text).alias("minutes"), X.duration_minutes(F.concat((k % 90).cast("string"), F.lit(" секунд"))).alias("seconds"), X.duration_minutes(F.lit(None).cast("string")).alias("none"))
 
 
 @query("""with n as (select r_regionkey, r_name, n_nationkey, n_name from region left join nation on n_regionkey = r_regionkey)
@@ -243,7 +243,10 @@ def non_null_count(spark, sf_dir):
     return rows.select("event_id", O.non_null_count("a", "b", "props").alias("filled"))
 
 
-@query("select 'int' as event_id, 'datetime_naive' as ts, 'int' as user_id, 'text' as event_type, 'numeric' as value, 'text' as props, '' as none")
+_FAMILY = "max(case when typeof({0}) in ('BIGINT', 'INTEGER') then 'int' when typeof({0}) = 'DOUBLE' then 'numeric' when typeof({0}) = 'TIMESTAMP' then 'datetime_naive' else 'text' end) as {0}"
+
+
+@query(f"""select {", ".join(_FAMILY.format(c) for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))}, '' as none from events""")
 def infer_families(spark, sf_dir):
     rows = t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", F.nullif(F.col("value"), F.col("value")).alias("none"))
     sets = O.family_sets(rows)
@@ -283,7 +286,7 @@ def literal_maps(spark, sf_dir):
 
 
 @query("""with d as (select o_orderkey, strftime(o_orderdate, '%d.%m.%Y') as a, o_orderdate::date as v from orders)
-select o_orderkey, v as plain, date_trunc('month', v)::date as month, v as named, date_trunc('month', v)::date as named_month, year(v)::int as year, a as found from d""")
+select o_orderkey, v as plain, v::timestamp + interval '9 hours 5 minutes' as timed, v::timestamp as short, date_trunc('month', v)::date as month, v as named, date_trunc('month', v)::date as named_month, year(v)::int as year, a as found from d""")
 def date_parsing(spark, sf_dir):
     names = F.array(*map(F.lit, ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]))
     firsts = F.array(*map(F.lit, ["Январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь"]))
@@ -292,7 +295,8 @@ def date_parsing(spark, sf_dir):
     named = F.concat_ws(" ", F.day(d), F.element_at(names, F.month(d)), F.year(d), F.lit("г."))
     month = F.concat_ws("  ", F.element_at(firsts, F.month(d)), F.year(d))
     return t(spark, sf_dir, "orders").select(
-        "o_orderkey", X.parse_date(text).alias("plain"), X.month_of_text(text).alias("month"), X.parse_date(named).alias("named"), X.parse_date(month).alias("named_month"), X.date_year(d.cast("string")).alias("year"),
+        "o_orderkey", X.parse_date(text).cast("date").alias("plain"), X.parse_date(F.concat(text, F.lit(" 9:05"))).alias("timed"), X.parse_date(F.date_format(d, "d/M/yy")).alias("short"), X.month_of_text(text).alias("month"),
+        X.parse_date(named).cast("date").alias("named"), X.parse_date(month).cast("date").alias("named_month"), X.date_year(d.cast("string")).alias("year"),
         X.first_date_text(F.concat(F.lit("from "), text, F.lit(" on"))).alias("found"),
     )
 
@@ -432,18 +436,6 @@ def xlsx_scan(spark, sf_dir):
     return Workbook(spark, path).get_sheet(0)
 
 
-@query("select n_regionkey::varchar as key, min_by(n_name, n_nationkey) as value from nation group by 1")
-def xlsx_lookup_map(spark, sf_dir):
-    from ledgerflow.operators import first_wins
-    from ledgerflow.sinks import write_xlsx
-    from ledgerflow.sources.xlsx import Workbook
-
-    path = f"{_folder()}/nation.xlsx"
-    write_xlsx(t(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey", "n_name"), path)
-    rows = Workbook(spark, path).get_range(0, "A1:B26")
-    return first_wins(rows.select("row_idx", F.col("n_regionkey").alias("key"), F.col("n_name").alias("value")), ["key"], "row_idx").select("key", "value")
-
-
 @query("select o_orderpriority as priority, count(*)::bigint as n, sum(o_totalprice::decimal(18, 2))::decimal(28, 2) as total from orders group by 1")
 def publish_replace(spark, sf_dir):
     from ledgerflow.plans import Publisher
@@ -496,3 +488,6 @@ def run_and_skip(spark, sf_dir):
     _csv(path, _small(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"), ["key", "region"])
     third = go()
     return p.read("by_region").agg(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(third).alias("third"), F.count(F.lit(1)).alias("rows"), F.sum("total").alias("total"))
+
+
+import ledgerflow.queries_io  # noqa: E402, F401  its queries are registered here

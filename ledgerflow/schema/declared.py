@@ -26,7 +26,7 @@ class SchemaError(ValueError):
 ALIASES = {
     "SMALLINT": "smallint", "INT2": "smallint", "INTEGER": "int", "INT": "int", "INT4": "int", "BIGINT": "bigint", "INT8": "bigint",
     "NUMERIC": "decimal", "DECIMAL": "decimal", "FLOAT": "double", "REAL": "float", "FLOAT4": "float", "DOUBLE": "double", "DOUBLE PRECISION": "double", "FLOAT8": "double",
-    "TEXT": "string", "STRING": "string", "VARCHAR": "string", "BOOLEAN": "boolean", "BOOL": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "DATETIME": "timestamp_ntz", "TIMESTAMPTZ": "timestamp", "BYTEA": "binary",
+    "TEXT": "string", "STRING": "string", "VARCHAR": "string", "CHAR": "string", "BOOLEAN": "boolean", "BOOL": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "DATETIME": "timestamp_ntz", "TIMESTAMPTZ": "timestamp", "BYTEA": "binary",
 }
 
 _FORM = re.compile(r"\s*([A-Za-z][A-Za-z0-9 ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?\s*")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.functions import missing_to_null
@@ -60,7 +59,3 @@ def apply_inferred(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df in the schema's types. NaN is null; a text of a bool is true or false."""
     kinds = dict(df.dtypes)
     return df.select(*[missing_to_null(quoted(f.name), kinds[f.name] in ("float", "double")).cast(f.dataType).alias(f.name) for f in schema])
-
-
-def rows_of_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"))

@@ -11,6 +11,7 @@ Errors name the file, the record and what is wrong, never the data.
 from __future__ import annotations
 
 import codecs
+import contextlib
 import csv
 import io
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ledgerflow.sources.files import FoundFile, file_set, fixed_file, latest_file
+from ledgerflow.sources.files import FileAccess, FoundFile, LocalFiles, file_set, fixed_file, latest_file, received, sent
 
 WIDTHS = ("strict", "pad", "truncate", "pad_or_truncate")
 
@@ -117,15 +118,21 @@ class _File(InputPartition):
         self.ordinal, self.path, self.label = ordinal, path, label
 
 
+@contextlib.contextmanager
+def _text(access: FileAccess, path: str, o: CsvOptions) -> Iterator[io.TextIOBase]:
+    with access.open(path) as raw, io.TextIOWrapper(raw, encoding=o.encoding, errors=o.errors, newline="") as stream:
+        yield stream
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, files, options: CsvOptions, width: int):
-        self.files, self.o, self.width = files, options, width
+    def __init__(self, files, options: CsvOptions, width: int, access: str | None):
+        self.files, self.o, self.width, self.access = files, options, width, access
 
     def partitions(self):
         return [_File(i, path, label) for i, (path, label) in enumerate(self.files)]
 
     def read(self, part):
-        with open(part.path, encoding=self.o.encoding, errors=self.o.errors, newline="") as stream:
+        with _text(received(self.access), part.path, self.o) as stream:
             rows = records(stream, self.o, part.label)
             if self.o.header:
                 next(rows, None)
@@ -147,10 +154,10 @@ class StrictCsv(DataSource):
         import json
 
         o = json.loads(self.options["spec"])
-        return _Reader([tuple(f) for f in o["files"]], CsvOptions(**o["options"]), o["width"])
+        return _Reader([tuple(f) for f in o["files"]], CsvOptions(**o["options"]), o["width"], o["access"])
 
 
-def _load(spark: SparkSession, files: list[FoundFile], o: CsvOptions, names: tuple[str, ...], position: bool) -> DataFrame:
+def _load(spark: SparkSession, files: list[FoundFile], o: CsvOptions, names: tuple[str, ...], position: bool, access: FileAccess | None = None) -> DataFrame:
     import json
 
     from pyspark.sql import functions as F
@@ -159,46 +166,47 @@ def _load(spark: SparkSession, files: list[FoundFile], o: CsvOptions, names: tup
     if not files:
         place = "_file int, _record int, " if position else ""
         return spark.createDataFrame([], place + ", ".join("`" + n.replace("`", "``") + "` string" for n in names))
-    spec = {"files": [(f.path, f.relative_path) for f in files], "options": {k: getattr(o, k) for k in o.__dataclass_fields__}, "width": len(names)}
+    spec = {"files": [(f.path, f.relative_path) for f in files], "options": {k: getattr(o, k) for k in o.__dataclass_fields__}, "width": len(names), "access": sent(access)}
     rows = spark.read.format("strict_csv").option("spec", json.dumps(spec)).load()
     place = [F.col("file").alias("_file"), F.col("record").alias("_record")] if position else []
     return rows.select(*place, *[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def _names(f: FoundFile, o: CsvOptions) -> tuple[str, ...] | None:
-    with open(f.path, encoding=o.encoding, errors=o.errors, newline="") as stream:
+def _names(f: FoundFile, o: CsvOptions, access: FileAccess | None = None) -> tuple[str, ...] | None:
+    with _text(access or LocalFiles(), f.path, o) as stream:
         return header_of(stream, o, f.relative_path)
 
 
-def read_csv(spark: SparkSession, f: FoundFile | str, options: CsvOptions = CsvOptions(), position: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, f: FoundFile | str, options: CsvOptions = CsvOptions(), position: bool = False, access: FileAccess | None = None) -> DataFrame:
     """One file. position adds _file and _record, which keep the physical order."""
-    f = fixed_file(f) if isinstance(f, str) else f
-    names = _names(f, options)
+    f = fixed_file(f, access) if isinstance(f, str) else f
+    names = _names(f, options, access)
     if names is None:
         raise CsvError(f"{f.relative_path}: no record")
-    return _load(spark, [f], options, names, position)
+    return _load(spark, [f], options, names, position, access)
 
 
 def read_latest_csv(spark: SparkSession, folder: str, pattern: str = "*.csv", options: CsvOptions = CsvOptions(), position: bool = False, **how) -> DataFrame:
-    return read_csv(spark, latest_file(folder, pattern, **how), options, position)
+    return read_csv(spark, latest_file(folder, pattern, **how), options, position, how.get("access"))
 
 
 def read_csv_set(spark: SparkSession, folder: str, pattern: str = "*.csv", options: CsvOptions = CsvOptions(), on_empty: str = "raise", position: bool = False, **how) -> DataFrame:
     """All files of a set as one table, _file following their order; a file without records is passed over, and all others
     must have the first one's header."""
+    access = how.get("access")
     files = file_set(folder, pattern, on_empty, **how)
     if not files:
         if options.columns is None:
             raise CsvError("an empty set has no header; name its columns")
         return _load(spark, [], options, options.columns, position)
-    usable = [(f, n) for f in files if (n := _names(f, options)) is not None]
+    usable = [(f, n) for f in files if (n := _names(f, options, access)) is not None]
     if not usable:
         raise CsvError(f"no file in {folder} has a record")
     first, names = usable[0]
     for f, n in usable[1:]:
         if n != names:
             raise CsvError(f"{f.relative_path}: another header than {first.relative_path}")
-    return _load(spark, [f for f, _ in usable], options, names, position)
+    return _load(spark, [f for f, _ in usable], options, names, position, access)
 
 
 def fast_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:

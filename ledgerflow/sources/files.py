@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import fnmatch
 import hashlib
 import json
 import os
+import pickle
 import posixpath
 import stat
 import time
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from pathlib import PurePath
-from typing import Protocol
+from typing import BinaryIO, Protocol
+
+from pyspark import cloudpickle
 
 
 class NoMatchingFilesError(FileNotFoundError):
@@ -26,18 +30,25 @@ class FoundFile:
     relative_path: str
     size: int
     mtime_ns: int
+    hidden: bool = False
+    system: bool = False
 
 
 class FileAccess(Protocol):
-    """What selection needs of a file system; local files are the one that comes with it."""
+    """What is needed of a file system: listing for selection, and content for the readers. Local files are the one that comes
+    with it; another one (a share, an archive, memory) is sent to the tasks that read, so it must be picklable."""
 
     def walk(self, folder: str, recursive: bool) -> Iterable[FoundFile]: ...
 
     def one(self, path: str) -> FoundFile: ...
 
+    def open(self, path: str) -> BinaryIO: ...
+
 
 class LocalFiles:
     def walk(self, folder: str, recursive: bool) -> Iterable[FoundFile]:
+        if os.path.isfile(folder):
+            raise ValueError(f"{folder} is a file, not a folder; fixed_file() selects one file")
         if not os.path.isdir(folder):
             raise FileNotFoundError(f"no folder {folder}")
         for top, dirs, names in os.walk(folder):
@@ -45,20 +56,36 @@ class LocalFiles:
                 dirs.clear()
             for name in names:
                 full = os.path.join(top, name)
-                info = os.stat(full)
-                if stat.S_ISREG(info.st_mode) and not _hidden_by_system(info):
-                    yield FoundFile(full, os.path.relpath(full, folder).replace(os.sep, "/"), info.st_size, info.st_mtime_ns)
+                try:
+                    info = os.stat(full)
+                except FileNotFoundError:  # gone since it was listed
+                    continue
+                if stat.S_ISREG(info.st_mode):
+                    yield FoundFile(full, os.path.relpath(full, folder).replace(os.sep, "/"), info.st_size, info.st_mtime_ns, *_attributes(info))
 
     def one(self, path: str) -> FoundFile:
         if not os.path.isfile(path):
             raise FileNotFoundError(f"no file {path}")
         info = os.stat(path)
-        return FoundFile(path, os.path.basename(path), info.st_size, info.st_mtime_ns)
+        return FoundFile(path, os.path.basename(path), info.st_size, info.st_mtime_ns, *_attributes(info))
 
+    def open(self, path: str) -> BinaryIO:
+        return open(path, "rb")
 
-def _hidden_by_system(info: os.stat_result) -> bool:
+
+def _attributes(info: os.stat_result) -> tuple[bool, bool]:
+    """Whether the system marks the file as hidden, and as its own."""
     flags = getattr(info, "st_file_attributes", 0)
-    return bool(flags & (getattr(stat, "FILE_ATTRIBUTE_HIDDEN", 2) | getattr(stat, "FILE_ATTRIBUTE_SYSTEM", 4)))
+    return bool(flags & stat.FILE_ATTRIBUTE_HIDDEN), bool(flags & stat.FILE_ATTRIBUTE_SYSTEM)
+
+
+def sent(access: FileAccess | None) -> str | None:
+    """An access as text, for the tasks that read through it."""
+    return None if access is None else base64.b64encode(cloudpickle.dumps(access)).decode()
+
+
+def received(text: str | None) -> FileAccess:
+    return LocalFiles() if text is None else pickle.loads(base64.b64decode(text))  # noqa: S301  our own driver's
 
 
 def resolve(path: str, base: str | None = None) -> str:
@@ -72,14 +99,15 @@ def _order(f: FoundFile) -> tuple[str, str]:
     return f.relative_path.lower(), f.relative_path
 
 
-def select_files(folder: str, pattern: str = "*", *, recursive: bool = False, hidden: bool = False, temporary: bool = False, min_age_seconds: float = 0, access: FileAccess | None = None) -> list[FoundFile]:
+def select_files(folder: str, pattern: str = "*", *, recursive: bool = False, hidden: bool = False, system: bool = False, temporary: bool = False, min_age_seconds: float = 0, access: FileAccess | None = None) -> list[FoundFile]:
     """Files whose name (or, for a pattern with a slash, relative path) fits, in order of their relative paths. Names that
-    begin with a dot are hidden, with ~$ temporary; younger files than min_age_seconds may still be written."""
+    begin with a dot are hidden, as are files that the system marks so, and with ~$ temporary; system files are those that the
+    system marks as its own. Each kind is left out unless asked for. Younger files than min_age_seconds may still be written."""
     newest = time.time_ns() - int(min_age_seconds * 1e9)
     out = []
     for f in (access or LocalFiles()).walk(folder, recursive):
         name = posixpath.basename(f.relative_path)
-        if not hidden and any(p.startswith(".") for p in PurePath(f.relative_path).parts) or not temporary and name.startswith("~$"):
+        if not hidden and (f.hidden or any(p.startswith(".") for p in PurePath(f.relative_path).parts)) or not temporary and name.startswith("~$") or not system and f.system:
             continue
         if not fnmatch.fnmatchcase((f.relative_path if "/" in pattern else name).lower(), pattern.lower()):
             continue

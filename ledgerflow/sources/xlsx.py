@@ -24,7 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerflow.operators.headers import columns_for, named_columns
 from ledgerflow.operators.joins import first_wins
-from ledgerflow.sources.files import FoundFile, fixed_file
+from ledgerflow.sources.csv import CsvOptions, read_csv
+from ledgerflow.sources.files import FileAccess, Fingerprint, FoundFile, LocalFiles, file_set, fixed_file, received, sent, set_fingerprint
 
 _DATE = re.compile(r"(?i)[ymdhs]")
 _SKIP = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
@@ -88,9 +89,9 @@ class Parts:
     epoch_1904: bool = False
 
 
-def parts_of(path: str) -> Parts:
+def parts_of(path: str, access: FileAccess | None = None) -> Parts:
     out = Parts()
-    with zipfile.ZipFile(path) as z:
+    with (access or LocalFiles()).open(path) as f, zipfile.ZipFile(f) as z:
         book, rels = _parsed(z, "xl/workbook.xml"), _relations(z, "xl/workbook.xml")
         for e in book.iter():
             if _local(e.tag) == "sheet":
@@ -152,9 +153,9 @@ def _date_text(number: str, epoch_1904: bool) -> str:
     return at.isoformat(sep=" ", timespec="seconds")
 
 
-def sheet_rows(path: str, part: str, epoch_1904: bool = False) -> Iterator[tuple[int, list, int, list[int], list[int]]]:
+def sheet_rows(path: str, part: str, epoch_1904: bool = False, access: FileAccess | None = None) -> Iterator[tuple[int, list, int, list[int], list[int]]]:
     """(row number, cells, outline level, indents, styles) of the rows that the sheet's XML has."""
-    with zipfile.ZipFile(path) as z:
+    with (access or LocalFiles()).open(path) as raw, zipfile.ZipFile(raw) as z:
         shared, (dates, indents) = _shared(z), _styles(z)
         last = 0
         with z.open(part) as f:
@@ -197,14 +198,14 @@ class _Sheet(InputPartition):
 
 
 class _SheetReader(DataSourceReader):
-    def __init__(self, sheets):
-        self.sheets = sheets
+    def __init__(self, sheets, access):
+        self.sheets, self.access = sheets, access
 
     def partitions(self):
         return [_Sheet(i, *s) for i, s in enumerate(self.sheets)]
 
     def read(self, p):
-        for n, cells, level, indents, styles in sheet_rows(p.path, p.part, p.epoch):
+        for n, cells, level, indents, styles in sheet_rows(p.path, p.part, p.epoch, received(self.access)):
             yield (p.ordinal, n, cells, level, indents, styles)
 
 
@@ -219,19 +220,44 @@ class XlsxSheets(DataSource):
         return "sheet int, row_idx int, cells array<string>, outline int, indents array<int>, styles array<int>"
 
     def reader(self, schema):
-        return _SheetReader([tuple(s) for s in json.loads(self.options["sheets"])])
+        o = json.loads(self.options["spec"])
+        return _SheetReader([tuple(s) for s in o["sheets"]], o["access"])
+
+
+def _sheets(spark: SparkSession, sheets: list[tuple[str, str, bool]], access: FileAccess | None) -> DataFrame:
+    spark.dataSource.register(XlsxSheets)
+    return spark.read.format("xlsx_sheets").option("spec", json.dumps({"sheets": sheets, "access": sent(access)})).load()
 
 
 class Workbook:
-    """One workbook. What it is made of is read on the driver when first asked for; sheets are read by tasks."""
+    """One workbook. What it is made of is read on the driver when first asked for, and kept until close(); sheets are read by
+    tasks, and nothing stays open in between."""
+
+    def __init__(self, spark: SparkSession, f: FoundFile | str, access: FileAccess | None = None):
+        self.spark, self.access = spark, access
+        self.file = fixed_file(f, access) if isinstance(f, str) else f
+        self._closed = False
+
+    def close(self) -> None:
+        """What was read of it is dropped, and it can't be read any more; again does nothing."""
+        self._closed = True
+        self.__dict__.pop("_known", None)
 
-    def __init__(self, spark: SparkSession, f: FoundFile | str):
-        self.spark = spark
-        self.file = fixed_file(f) if isinstance(f, str) else f
+    def __enter__(self) -> Workbook:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @cached_property
+    def _known(self) -> Parts:
+        return parts_of(self.file.path, self.access)
+
+    @property
     def _parts(self) -> Parts:
-        return parts_of(self.file.path)
+        if self._closed:
+            raise ValueError(f"{self.file.relative_path} is closed")
+        return self._known
 
     @property
     def sheets(self) -> list[str]:
@@ -251,9 +277,7 @@ class Workbook:
         return sheet
 
     def _load(self, sheet: str | int) -> DataFrame:
-        self.spark.dataSource.register(XlsxSheets)
-        spec = [(self.file.path, self._parts.sheets[self.sheet_name(sheet)], self._parts.epoch_1904)]
-        return self.spark.read.format("xlsx_sheets").option("sheets", json.dumps(spec)).load()
+        return _sheets(self.spark, [(self.file.path, self._parts.sheets[self.sheet_name(sheet)], self._parts.epoch_1904)], self.access)
 
     def raw_rows(self, sheet: str | int) -> DataFrame:
         """row_idx and cells, no header."""
@@ -268,8 +292,14 @@ class Workbook:
             raise ValueError(f"mode {mode!r}")
         return rows.select("row_idx", value[mode].alias("value"))
 
-    def rows_with_metadata(self, sheet: str | int) -> DataFrame:
-        return self._load(sheet).select("row_idx", "cells", "outline")
+    def rows_with_metadata(self, sheet: str | int, mode: str = "outline", column: int | str = 0) -> DataFrame:
+        """All rows from 1 to the last one, with the metadata as a column of the mode's name. Rows that the sheet's file lacks
+        have no cells, and level, indent and style 0."""
+        rows = self._load(sheet).select("row_idx", "cells").join(self.row_metadata(sheet, mode, column), "row_idx")
+        last = rows.agg(F.max("row_idx").alias("n")).filter("n is not null")
+        every = last.select(F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row_idx"))
+        none = F.array().cast("array<string>")
+        return every.join(rows, "row_idx", "left").select("row_idx", F.coalesce("cells", none).alias("cells"), F.coalesce("value", F.lit(0)).alias(mode))
 
     def get_range(self, sheet: str | int, ref: str) -> DataFrame:
         """A range below its first row, which names the columns; row_idx stays."""
@@ -307,12 +337,42 @@ class Workbook:
         return first_wins(rows, ["key"], "row_idx").select("key", "value")
 
 
-def read_workbooks(spark: SparkSession, files: list[FoundFile], sheet: str | int = 0) -> DataFrame:
+class FileSet:
+    """The files of one selection: what is read, and what the fingerprint tells of, are the same files."""
+
+    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*", on_empty: str = "raise", access: FileAccess | None = None, **how):
+        self.spark, self.access, self.folder, self.pattern, self.recursive = spark, access, folder, pattern, how.get("recursive", False)
+        self.files = tuple(file_set(folder, pattern, on_empty, access=access, **how))
+
+    def _own(self, f: FoundFile) -> FoundFile:
+        if f not in self.files:
+            raise ValueError(f"{f.relative_path} isn't a file of this set")
+        return f
+
+    def open(self, f: FoundFile):
+        return (self.access or LocalFiles()).open(self._own(f).path)
+
+    def csv(self, f: FoundFile, options: CsvOptions = CsvOptions(), position: bool = False) -> DataFrame:
+        return read_csv(self.spark, self._own(f), options, position, self.access)
+
+    def workbook(self, f: FoundFile) -> Workbook:
+        return Workbook(self.spark, self._own(f), self.access)
+
+    def row_metadata(self, f: FoundFile, sheet: str | int = 0, mode: str = "outline", column: int | str = 0) -> DataFrame:
+        return self.workbook(f).row_metadata(sheet, mode, column)
+
+    def sheets(self, sheet: str | int = 0) -> DataFrame:
+        return read_workbooks(self.spark, list(self.files), sheet, self.access)
+
+    def fingerprint(self) -> Fingerprint:
+        return set_fingerprint(list(self.files), self.folder, self.pattern, self.recursive)
+
+
+def read_workbooks(spark: SparkSession, files: list[FoundFile], sheet: str | int = 0, access: FileAccess | None = None) -> DataFrame:
     """One sheet of each workbook, as file (by order), row_idx, cells and outline."""
-    spark.dataSource.register(XlsxSheets)
     spec = []
     for f in files:
-        w = Workbook(spark, f)
+        w = Workbook(spark, f, access)
         spec.append((f.path, w._parts.sheets[w.sheet_name(sheet)], w._parts.epoch_1904))
-    rows = spark.read.format("xlsx_sheets").option("sheets", json.dumps(spec)).load()
+    rows = _sheets(spark, spec, access)
     return rows.select(F.col("sheet").alias("file"), "row_idx", "cells", "outline")

@@ -36,6 +36,14 @@ def render_type(t: T.DataType) -> str:
     return name
 
 
+def _declared(f: T.StructField) -> T.DataType:
+    """The type as declared: a catalog's char and varchar columns are strings, whose length stands in their metadata."""
+    text = f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
+    if text.startswith("char("):
+        raise RenderError(f"{text} has no declaration")
+    return T.VarcharType(int(text[8:-1])) if text.startswith("varchar(") else f.dataType
+
+
 def render(schema: T.StructType, exclude: tuple[str, ...] = (), style: str = "python") -> str:
     if missing := [c for c in exclude if c not in schema.names]:
         raise RenderError(f"the table lacks {', '.join(missing)}")
@@ -45,7 +53,7 @@ def render(schema: T.StructType, exclude: tuple[str, ...] = (), style: str = "py
     lines, errors = [], []
     for f in fields:
         try:
-            kind = render_type(f.dataType)
+            kind = render_type(_declared(f))
             lines.append(f'    Column("{f.name}", "{kind}"{"" if f.nullable else ", nullable=False"}),' if style == "python" else f"    {f.name} {kind}{'' if f.nullable else ' NOT NULL'},")
         except RenderError as e:
             errors.append(f"{f.name}: {e}")

@@ -26,7 +26,7 @@ def test_error_texts(spark):
 
 def test_dates(spark):
     texts = ["01.02.2024", "2024-02-03", "Август 2023 г.", "5 мая 2022", "3/4/2021", " ", None]
-    want = [dt.date(2024, 2, 1), dt.date(2024, 2, 3), dt.date(2023, 8, 1), dt.date(2022, 5, 5), dt.date(2021, 4, 3), None, None]
+    want = [dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 3), dt.datetime(2023, 8, 1), dt.datetime(2022, 5, 5), dt.datetime(2021, 4, 3), None, None]
     assert values(spark, texts, X.parse_date(F.col("v"))) == want
     with pytest.raises(Exception, match="cannot read a date"):
         values(spark, ["nonsense"], X.parse_date(F.col("v")))
