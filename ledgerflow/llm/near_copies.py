@@ -7,9 +7,9 @@ what follows it bounds what they share: with n - i shingles from it on, a text c
 (9 (n - i) - 4 n) / 4 shingles. So texts that merely share a common passage meet under its shingles, but are no pair:
 their own, rarer shingles come first. The order only decides how many meet under a key, not what is found.
 
-1. Texts whose least shingle (under one of MINIMA hash functions) is the same are compared with one of them. What is
-verified makes groups, so that a large group of copies costs a few pairs a text. 2. Texts of different groups that
-share a key and may be similar by the bound are paired. A pair is dropped early only if parities of hashed shingles, a
+1. Texts whose least shingle (under one of MINIMA hash functions) is the same are compared, each with LAGS others of other
+groups, TURNS times over; what is verified makes groups. So a large group of copies costs a few pairs a text, even if
+most of its texts are less than similar to each other and linked by way of others. 2. Texts of different groups that share a key and may be similar by the bound are paired. A pair is dropped early only if parities of hashed shingles, a
 lower bound of how many differ, rule it out; the rest is verified on all shingles (as 40-bit hashes).
 
 Of the two texts of a pair the smaller one's bound reaches its own size (a strong row); a task holds strong rows alone, the
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerflow.llm.common import text_bytes, text_hash, written
 from ledgerflow.llm.components import components
@@ -38,6 +39,8 @@ SHINGLE, BITS, MINIMA = 5, 40, 4
 SAMPLE, HOT, HOT_LEAST = 8, 1 << 19, 3
 MOST_PARITIES = 1 << 15
 CELL_ROWS = 1 << 20
+#: In the first step, texts that each is compared with, how often, and how many stand in one order.
+LAGS, TURNS, CELL_TEXTS = 3, 3, 1024
 #: Places compared at once, and pairs of a task that are made distinct before they move.
 COMPARED, HELD = 1 << 21, 1 << 20
 _ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -270,22 +273,40 @@ def _frequent(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], (1 + np.log2(n[order])).astype(np.uint64), 1 + n[order] * SAMPLE // CELL_ROWS
 
 
-def _least_alike(sketched: DataFrame) -> DataFrame:
-    """t, r: each text with one of those of about its size that have a least shingle in common with it."""
-    band = F.floor(F.log(F.col("size")) / F.lit(math.log(1.25)))
-    rows = sketched.filter("size > 0").select("t", band.alias("band"), F.posexplode("least").alias("i", "m"))
-    rows = rows.select("t", F.xxhash64("i", "m", "band").alias("k"))
-    heads = rows.groupBy("k").agg(F.min("t").alias("r"), F.max("t").alias("last")).filter("r <> last")
+def _least_shared(sketched: DataFrame) -> DataFrame:
+    """t, k, n: each text's least shingles that n > 1 texts of about its size have as well. Sizes are banded in two ways, by turns
+    of the hash functions, so that texts of nearly one size share a band."""
+    band = F.floor(F.log(F.col("size")) / F.lit(math.log(1.25)) + (F.col("i") % 2) / 2)
+    rows = sketched.filter("size > 0").select("t", "size", F.posexplode("least").alias("i", "m"))
+    rows = rows.select("t", F.xxhash64("i", "m", band).alias("k")).distinct()
+    n = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # the join's key isn't the aggregate's: both sides are exchanged, and Spark can split a key that many texts have
-    heads = heads.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k"), "r")
-    return rows.withColumn("k", F.col("k").bitwiseXOR(F.lit(1))).join(heads, "k").filter("t <> r").select("t", "r").distinct()
+    n = n.select(F.col("k").bitwiseXOR(F.lit(1)).alias("x"), "n")
+    return written(rows.withColumn("x", F.col("k").bitwiseXOR(F.lit(1))).join(n, "x").select("t", "k", "n"), "near-least")
+
+
+def _neighbours(least: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """t, r: texts of different groups that share a least shingle, each with the next LAGS in an order drawn anew each turn. A
+    shingle's texts are dealt over cells of about CELL_TEXTS, anew each turn as well."""
+    rows = least if groups is None else least.join(groups, F.col("t") == F.col("u"), "left")
+    root = F.col("t") if groups is None else F.coalesce("v", "t")
+    cell = F.pmod(F.xxhash64("t", "k", F.lit(turn)), 1 + F.floor(F.col("n") / CELL_TEXTS))
+    rows = rows.select("t", root.alias("root"), F.xxhash64("k", cell).alias("cell"), F.xxhash64("k", F.lit(turn), "t").alias("place"))
+    order = W.partitionBy("cell").orderBy("place")
+    after = F.array(*[F.struct(F.lead("t", j).over(order).alias("r"), F.lead("root", j).over(order).alias("other")) for j in range(1, LAGS + 1)])
+    rows = rows.select("t", "root", after.alias("after")).select("t", "root", F.explode("after").alias("a")).filter("a.r is not null and a.other <> root")
+    return rows.select(F.greatest("t", "a.r").alias("t"), F.least("t", "a.r").alias("r")).distinct()
 
 
 def near_links(sketched: DataFrame) -> DataFrame:
     """u, v: links whose components are those of all texts with four fifths of their shingles in common."""
     shared = sketched.sparkSession.sparkContext.broadcast(_frequent(sketched))
-    first = _links(sketched, _least_alike(sketched))
-    groups = components(first).withColumnRenamed("v", "root")
+    least, first, groups = _least_shared(sketched), None, None
+    for turn in range(TURNS):
+        found = _links(sketched, _neighbours(least, groups, turn))
+        first = found if first is None else first.union(found)
+        groups = components(first)
+    groups = groups.withColumnRenamed("v", "root")
     # a text that several tasks have sketched has one root in all its rows, so these make no pairs
     texts = sketched.select("t", "size", "shingles").join(groups, F.col("t") == F.col("u"), "left")
     texts = texts.select("t", "size", "shingles", F.coalesce("root", "t").alias("root"))
