@@ -9,8 +9,10 @@ their own, rarer shingles come first. The order only decides how many meet under
 
 1. Texts whose least shingle (under one of MINIMA hash functions) is the same are compared, each with LAGS others of other
 groups, TURNS times over; what is verified makes groups. So a large group of copies costs a few pairs a text, even if
-most of its texts are less than similar to each other and linked by way of others. 2. Texts of different groups that share a key and may be similar by the bound are paired. A pair is dropped early only if parities of hashed shingles, a
-lower bound of how many differ, rule it out; the rest is verified on all shingles (as 40-bit hashes).
+most of its texts are less than similar to each other and linked by way of others.
+2. Texts of different groups that share a key and may be similar by the bound are paired. A pair is dropped early only if
+parities of hashed shingles, a lower bound of how many differ, rule it out; the rest is verified on all shingles (as
+40-bit hashes).
 
 Of the two texts of a pair the smaller one's bound reaches its own size (a strong row); a task holds strong rows alone, the
 others stream by. A key that the sample shows to be very frequent is dealt over cells: each strong row goes to one, the
