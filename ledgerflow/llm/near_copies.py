@@ -8,11 +8,12 @@ what follows it bounds what they share: with n - i shingles from it on, a text c
 their own, rarer shingles come first. The order only decides how many meet under a key, not what is found.
 
 1. Texts whose least shingle (under one of MINIMA hash functions) is the same are compared, each with LAGS others of other
-groups, TURNS times over; what is verified makes groups. So a large group of copies costs a few pairs a text, even if
-most of its texts are less than similar to each other and linked by way of others.
+groups, TURNS times over; what is verified makes groups. After the first turn, which is drawn, the others are those with the
+most links so far. So a large group of copies costs a few pairs a text, even if most of its texts are less than similar to
+each other and linked by way of others: these others have the most links.
 2. Texts of different groups that share a key and may be similar by the bound are paired. A pair is dropped early only if
-parities of hashed shingles, a lower bound of how many differ, rule it out; the rest is verified on all shingles (as
-40-bit hashes).
+parities of hashed shingles, a lower bound of how many differ, rule it out: where a key is known to be frequent as the pair
+is made, else before the shingles are fetched. The rest is verified on all shingles (as 40-bit hashes).
 
 Of the two texts of a pair the smaller one's bound reaches its own size (a strong row); a task holds strong rows alone, the
 others stream by. A key that the sample shows to be very frequent is dealt over cells: each strong row goes to one, the
@@ -45,6 +46,8 @@ CELL_ROWS = 1 << 20
 LAGS, TURNS, CELL_TEXTS = 3, 3, 1024
 #: Places compared at once, and pairs of a task that are made distinct before they move.
 COMPARED, HELD = 1 << 21, 1 << 20
+#: Rows of frequent keys carry parities of FOLD buckets; so many pairs' parities are compared at once.
+FOLD, FOLDED = 512, 1 << 16
 _ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -62,6 +65,19 @@ def _apart(x: bytes, y: bytes) -> int:
     return int.from_bytes((folded ^ np.frombuffer(x, np.uint8)).tobytes(), "little").bit_count()
 
 
+def _folded(own: np.ndarray) -> bytes:
+    """Parities of FOLD buckets, whatever the set's size."""
+    return np.packbits(np.bincount((own & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1, bitorder="little").tobytes()
+
+
+def _unpacked(parities: pa.Array) -> np.ndarray:
+    """FOLD bits a row, none set where there are no parities."""
+    out = np.zeros((len(parities), FOLD // 64), np.uint64)
+    raw = b"".join(parities.drop_null().to_pylist())
+    out[parities.is_valid().to_numpy(zero_copy_only=False)] = np.frombuffer(raw, np.uint64).reshape(-1, FOLD // 64)
+    return out
+
+
 def _closed(own: np.ndarray) -> bytes:
     """A sorted set of BITS-bit numbers, five bytes each."""
     return (own >> np.uint64(8)).astype(np.uint32).tobytes() + own.astype(np.uint8).tobytes()
@@ -122,8 +138,9 @@ def _counted(batches):
 
 
 def _keys(shared):
-    """(t, size, shingles, root) -> place, t, size, most, root: a row for each key of a text (and cell of the key). place: cell,
-    key, and whether the row isn't strong. most: the size up to which the text's partners under the key can go."""
+    """(t, size, shingles, root) -> place, t, size, most, root, folded: a row for each key of a text (and cell of the key). place:
+    cell, key, and whether the row isn't strong. most: the size up to which the text's partners under the key can go. folded: the
+    text's parities if the key is frequent, else null."""
 
     def run(batches):
         hot, level, cells = shared.value
@@ -146,28 +163,33 @@ def _keys(shared):
             size = np.array([len(s) for s in sets])[row]
             i = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             most = (9 * (size - i) - 4 * size) // 4
-            weak, cell = most < size, np.zeros(len(row), np.int64)
-            if len(hot) and cells.max() > 1:
+            weak, cell, frequent = most < size, np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+            if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                times = np.where(hot[at] == key, cells[at], 1)
+                frequent = hot[at] == key
+                times = np.where(frequent, cells[at], 1)
                 own_cell = b.column(0).to_numpy().view(np.uint64)[row] % times.astype(np.uint64)
                 each = np.repeat(np.arange(len(row)), times)
                 cell = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
                 weak = weak[each] | (cell != own_cell[each].astype(np.int64))
-                row, key, size, most = row[each], key[each], size[each], most[each]
+                row, key, size, most, frequent = row[each], key[each], size[each], most[each], frequent[each]
+            folded = [None] * len(sets)
+            for j in np.unique(row[frequent]).tolist():
+                folded[j] = _folded(sets[j])
             place = (cell << (BITS + 1)) | (key.astype(np.int64) << 1) | weak
             rows = pa.array(row)
+            folded = pa.array(folded, pa.binary()).take(pa.array(row, mask=~frequent))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place), b.column(0).take(rows), pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), b.column(3).take(rows)],
-                names=["place", "t", "size", "most", "root"],
+                [pa.array(place), b.column(0).take(rows), pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), b.column(3).take(rows), folded],
+                names=["place", "t", "size", "most", "root", "folded"],
             )
 
     return run
 
 
 def _met(s: list[np.ndarray], r: list[np.ndarray]):
-    """(group, t, size, most, root) of strong rows and of all rows of the same groups -> pairs of texts (n x 2) that may be similar:
-    those of one group and different roots, the strong one not larger."""
+    """(group, t, size, most, root, parities) of strong rows and of all rows of the same groups -> pairs of texts (n x 2) that may be
+    similar: those of one group and different roots, the strong one not larger, that the parities don't rule out."""
     k = len(s[0])
     group, root = np.concatenate([s[0], r[0]]), np.concatenate([s[4], r[4]])
     order = np.lexsort((root, group))
@@ -194,8 +216,12 @@ def _met(s: list[np.ndarray], r: list[np.ndarray]):
         x, y = strong[which], by_root[at]
         n, m = s[2][x], r[2][y]
         ok = (n <= m) & (m <= s[3][x]) & (n <= r[3][y])
-        if ok.any():
-            t, u = s[1][x[ok]], r[1][y[ok]]
+        x, y = x[ok], y[ok]
+        for i in range(0, len(x), FOLDED):
+            p, q = x[i : i + FOLDED], y[i : i + FOLDED]
+            apart = np.bitwise_count(s[5][p] ^ r[5][q]).sum(1, dtype=np.int64)
+            near = 9 * apart <= s[2][p].astype(np.int64) + r[2][q]
+            t, u = s[1][p[near]], r[1][q[near]]
             yield np.stack([np.maximum(t, u), np.minimum(t, u)], 1)
 
 
@@ -208,10 +234,10 @@ def _across(batches):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["t", "r"])
 
     for b in batches:
-        place, *rest = (c.to_numpy() for c in b.columns)
+        place, *rest = (c.to_numpy() for c in b.columns[:5])
         if not len(place):
             continue
-        rows = [place >> 1, *rest]
+        rows = [place >> 1, *rest, _unpacked(b.column(5))]
         strong = [c[place & 1 == 0] for c in rows]
         before = held if held is not None and held[0][0] == rows[0][0] else [c[:0] for c in rows]
         for part in (*_met([np.concatenate(c) for c in zip(before, strong)], rows), *_met(strong, before)):
@@ -287,32 +313,44 @@ def _least_shared(sketched: DataFrame) -> DataFrame:
     return written(rows.withColumn("x", F.col("k").bitwiseXOR(F.lit(1))).join(n, "x").select("t", "k", "n"), "near-least")
 
 
-def _neighbours(least: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """t, r: texts of different groups that share a least shingle, each with the next LAGS in an order drawn anew each turn. A
-    shingle's texts are dealt over cells of about CELL_TEXTS, anew each turn as well."""
-    rows = least if groups is None else least.join(groups, F.col("t") == F.col("u"), "left")
-    root = F.col("t") if groups is None else F.coalesce("v", "t")
+def _known(links: DataFrame) -> DataFrame:
+    """u, root, degree: the group and the number of links of each text that has one."""
+    ends = links.select("u").union(links.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    return written(ends.join(components(links), "u", "left").select("u", F.coalesce("v", "u").alias("root"), "degree"), "near-known")
+
+
+def _neighbours(least: DataFrame, known: DataFrame | None, turn: int) -> DataFrame:
+    """t, r: texts of different groups that share a least shingle. A shingle's texts are dealt over cells of about CELL_TEXTS,
+    anew each turn. At first each text is compared with the next LAGS in a drawn order; then with those of its cell that have the
+    most links so far, in each turn with the next LAGS of these."""
+    rows = least if known is None else least.join(known, F.col("t") == F.col("u"), "left")
+    root, degree = (F.col("t"), F.lit(0)) if known is None else (F.coalesce("root", "t"), F.coalesce("degree", F.lit(0)))
     cell = F.pmod(F.xxhash64("t", "k", F.lit(turn)), 1 + F.floor(F.col("n") / CELL_TEXTS))
-    rows = rows.select("t", root.alias("root"), F.xxhash64("k", cell).alias("cell"), F.xxhash64("k", F.lit(turn), "t").alias("place"))
-    order = W.partitionBy("cell").orderBy("place")
-    after = F.array(*[F.struct(F.lead("t", j).over(order).alias("r"), F.lead("root", j).over(order).alias("other")) for j in range(1, LAGS + 1)])
-    rows = rows.select("t", "root", after.alias("after")).select("t", "root", F.explode("after").alias("a")).filter("a.r is not null and a.other <> root")
+    place = F.xxhash64("k", F.lit(turn), "t")
+    rows = rows.select("t", root.alias("root"), degree.alias("degree"), F.xxhash64("k", cell).alias("cell"), place.alias("place"))
+    order = W.partitionBy("cell").orderBy(F.desc("degree"), "place")
+    if turn:
+        whole, before = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), (turn - 1) * LAGS
+        at = lambda c, j: F.nth_value(c, before + j).over(whole)
+    else:
+        at = lambda c, j: F.lead(c, j).over(order)
+    others = F.array(*[F.struct(at("t", j).alias("r"), at("root", j).alias("other")) for j in range(1, LAGS + 1)])
+    rows = rows.select("t", "root", others.alias("others")).select("t", "root", F.explode("others").alias("a")).filter("a.r is not null and a.other <> root")
     return rows.select(F.greatest("t", "a.r").alias("t"), F.least("t", "a.r").alias("r")).distinct()
 
 
 def near_links(sketched: DataFrame) -> DataFrame:
     """u, v: links whose components are those of all texts with four fifths of their shingles in common."""
     shared = sketched.sparkSession.sparkContext.broadcast(_frequent(sketched))
-    least, first, groups = _least_shared(sketched), None, None
+    least, first, known = _least_shared(sketched), None, None
     for turn in range(TURNS):
-        found = _links(sketched, _neighbours(least, groups, turn))
+        found = _links(sketched, _neighbours(least, known, turn))
         first = found if first is None else first.union(found)
-        groups = components(first)
-    groups = groups.withColumnRenamed("v", "root")
+        known = _known(first)
     # a text that several tasks have sketched has one root in all its rows, so these make no pairs
-    texts = sketched.select("t", "size", "shingles").join(groups, F.col("t") == F.col("u"), "left")
+    texts = sketched.select("t", "size", "shingles").join(known, F.col("t") == F.col("u"), "left")
     texts = texts.select("t", "size", "shingles", F.coalesce("root", "t").alias("root"))
-    rows = texts.mapInArrow(_keys(shared), "place long, t long, size int, most int, root long")
+    rows = texts.mapInArrow(_keys(shared), "place long, t long, size int, most int, root long, folded binary")
     rows = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     pairs = written(rows.mapInArrow(_across, "t long, r long").distinct(), "near-across")
     return first.union(_links(sketched, pairs))
