@@ -1,15 +1,23 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(token | history) = P(class | history) * P(token | class). A token's class comes from
-its form (its ending, or the whole of a short one), the end of a text has its own.
-P(class | history) is a softmax over CLASSES, whose features are hashed n-grams and
-skips of the history; P(token | class) comes from counts, with half a count for what
-is not known, so that the probabilities of all tokens and one unknown token per
-class sum to one. All counts are exact and over all training texts.
+P(token | history) = P(class | history) * P(token | class, history), both from hashed
+n-grams and skips of the history. A token's class comes from its form (its ending, or
+the whole of a short one), the end of a text has its own. P(class | history) is a
+softmax over CLASSES. Within a class, tokens are the leaves of a Huffman tree, and each
+turn on the way to one is a binary maximum-entropy decision given the same features,
+whose bias is the odds of the counts below. The frequent tokens are leaves of their own,
+the others of a class share leaves by a hash of the form, as many as there are others
+for; within such a leaf counts decide. Without weights P(token | class) would be that of
+the counts, with half a count for what is not known, spread over the class's shared
+leaves; the probabilities of all tokens and one unknown one a shared leaf sum to one. All
+counts are exact and over all training texts.
 
 Training takes every training text once, in ROUNDS: each task runs mini-batch
-AdaGrad from the last round's weights over its texts and sends its change, in
-blocks of feature rows, which are averaged by the number of updates of each row.
+AdaGrad from the last round's weights over its texts and sends its change, in blocks.
+Changes of the classes' feature rows are averaged by the number of updates of each row.
+Those of the turns' weights, a hashed table that grows with the training tokens up to
+2^CELL_BITS, are merged by precision: 1 + s in a task of squared gradients s, 1 + sum(s) in
+all, so that what several tasks saw once each adds up, and what all know well is averaged.
 
 Counts of frequent tokens (at least N / HEAD occurrences: at most HEAD tokens can
 have so many) go to every task; the others' occurrences meet their counts in an
@@ -23,6 +31,7 @@ counts are zero; an empty table gives no row; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +46,14 @@ CLASSES, ROWS, FEATURES, ROUNDS = 32, 1 << 15, 4, 3
 HEAD = 1 << 20
 BATCH, RATE, BLOCK_ROWS = 16384, 0.3, 1024
 CHUNK_BYTES = 5_000_000
+CELL_BITS, CELLS_A_TOKEN = 22, 4
+TURN_BATCH, TURN_RATE, OCTAVE = 1024, 0.1, 12
+SPOT_BITS, FORMS_A_SPOT = 13, 64
+TASKS, TASK_TOKENS = 6, 2_000_000
 END = CLASSES - 1
 _NONE = 0x5851F42D4C957F2D
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_NODE, _ODD_CELL = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -61,6 +75,15 @@ def classes_of(forms: list[bytes]) -> np.ndarray:
     return np.array(own, np.int64)[ends.indices.to_numpy()]
 
 
+def hashes_of(forms: list[bytes]) -> np.ndarray:
+    return np.array([*map(xxhash.xxh64_intdigest, forms)], np.uint64)
+
+
+def spots_of(hashes: np.ndarray) -> np.ndarray:
+    """Which of the 2^SPOT_BITS finest shared leaves of its class a form has."""
+    return (hashes >> np.uint64(64 - SPOT_BITS)).astype(np.int64)
+
+
 def _chunks(batches, at: int):
     """Batches cut at about CHUNK_BYTES of text."""
     for b in batches:
@@ -72,18 +95,121 @@ def _chunks(batches, at: int):
 
 
 def _count(batches):
-    """(text) -> token, class, n: a row for each form of a chunk. The end of texts is the null token."""
+    """(text) -> token, class, spot, n: a row for each form of a chunk. The end of texts is the null token."""
     for b in _chunks(batches, 0):
         flat, counts = split_all([t.lower() for t in b.column(0).to_pylist()])
         codes, forms = encoded(flat)
         n = np.bincount(codes, minlength=len(forms)) if len(forms) else np.empty(0, np.int64)
         classes = np.append(classes_of(forms), END).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([*forms, None], pa.binary()), pa.array(classes), pa.array([*n, len(counts)], pa.int64())], names=["token", "class", "n"])
+        spots = np.append(spots_of(hashes_of(forms)), 0).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([*forms, None], pa.binary()), pa.array(classes), pa.array(spots), pa.array([*n, len(counts)], pa.int64())], names=["token", "class", "spot", "n"])
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """token (binary, null: the end), class and c, as a written table. texts: a binary column."""
-    return written(texts.mapInArrow(_count, "token binary, class int, n long").groupBy("token", "class").agg(F.sum("n").alias("c")), "lm-counts")
+    """token (binary, null: the end), class, spot and c, as a written table. texts: a binary column."""
+    return written(texts.mapInArrow(_count, "token binary, class int, spot int, n long").groupBy("token", "class", "spot").agg(F.sum("n").alias("c")), "lm-counts")
+
+
+class Tree:
+    """A Huffman tree for each class but the end's. Leaves: the frequent tokens, then each class's shared ones."""
+
+    def __init__(self, tokens: list[bytes], classes: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+        """shared: the mass of each class's shared leaves, a row a class, a power of two in number."""
+        self.leaf, self.counts, self.spots = {t: i for i, t in enumerate(tokens)}, counts, shared.shape[1]
+        mass = np.concatenate([counts + 0.5, shared.ravel()])
+        own = np.concatenate([classes, np.repeat(np.arange(END), self.spots)])
+        self.mass = np.bincount(own, mass, END)
+        self.parent = np.full(2 * len(mass) - END + 1, -1, np.int32)  # what index -1 gives, so that roots have no way up
+        self.right = np.zeros(len(self.parent), bool)
+        self.bias = np.zeros(len(self.parent), np.float32)
+        node = len(mass)
+        by_class = np.lexsort((mass, own))
+        for ids in np.split(by_class, np.searchsorted(own[by_class], np.arange(1, END))):
+            leaves, inner, i, j = mass[ids].tolist(), [], 0, 0
+            ids, first = ids.tolist(), node
+            for _ in range(len(ids) - 1):  # the two least, of leaves and nodes in order
+                two = []
+                for _ in range(2):
+                    if i < len(leaves) and (j == len(inner) or leaves[i] <= inner[j]):
+                        two.append((ids[i], leaves[i]))
+                        i += 1
+                    else:
+                        two.append((first + j, inner[j]))
+                        j += 1
+                (a, less), (b, more) = two
+                self.parent[a] = self.parent[b] = node
+                self.right[b] = True
+                self.bias[node] = math.log(more / less)
+                inner.append(less + more)
+                node += 1
+
+    def paths(self, t: _Tokens) -> _Paths:
+        leaf = np.fromiter((self.leaf.get(f, -1) for f in t.forms), np.int64, len(t.forms))
+        rare = np.flatnonzero(leaf < 0)
+        leaf[rare] = len(self.leaf) + t.classes[rare] * self.spots + spots_of(t.hashes[rare]) * self.spots // (1 << SPOT_BITS)
+        up, right, at = [np.full(len(leaf) + 1, -1, np.int32)], [np.zeros(len(leaf) + 1, bool)], np.append(leaf, -1)
+        while (above := self.parent[at]).max() >= 0:
+            up.append(above)
+            right.append(self.right[at])
+            at = above
+        up, right = np.array(up).T, np.array(right).T
+        return _Paths(up, right, up >= 0, self.bias)
+
+
+class _Paths:
+    """The turns to each of a chunk's forms and to the end, which has none: form by form, from the leaf up."""
+
+    def __init__(self, up: np.ndarray, right: np.ndarray, real: np.ndarray, bias: np.ndarray):
+        self.n = real.sum(1)
+        self.starts = starts_of(self.n)
+        node, self.right = up[real], right[real].astype(np.float32)
+        self.bias, self.key = bias[node], node.astype(np.uint32) * _ODD_NODE
+        #: each form's log probability in its class by the biases alone
+        self.prior = np.bincount(np.repeat(np.arange(len(self.n)), self.n), _log_of_turns(self.bias, self.right), len(self.n))
+
+
+def _log_of_turns(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+    z = z * (1 - 2 * right)
+    return -np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+
+
+class _Turns:
+    """The turns of some tokens of a chunk, all of one class, each with the cells of its weights."""
+
+    def __init__(self, paths: _Paths, t: _Tokens, at: np.ndarray, n_cells: int):
+        code = t.code[at]
+        n = paths.n[code]
+        self.starts = starts_of(n)
+        place = np.repeat(paths.starts[code] - self.starts, n) + np.arange(n.sum())
+        self.right, self.bias, self.prior, key = paths.right.take(place), paths.bias.take(place), paths.prior[code], paths.key.take(place)
+        own = (n_cells // FEATURES).bit_length() - 1  # each feature has a part of the table: those of many values don't blur the others
+        self.cells = np.empty((FEATURES, len(key)), np.intp)
+        for i in range(FEATURES):
+            h = np.repeat(t.keys[i].take(at), n)
+            h ^= key
+            h *= _ODD_CELL
+            h >>= np.uint32(32 - own)
+            h += np.uint32(i << own)
+            self.cells[i] = h
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        return weights.sum(0) + self.bias
+
+    def gain(self, cells: np.ndarray) -> np.ndarray:
+        """For each token, the log probability of its turns less that by the counts alone."""
+        z = self.logits(cells.take(self.cells))
+        return np.add.reduceat(_log_of_turns(z, self.right), self.starts, dtype=np.float64) - self.prior
+
+
+def _by_class(t: _Tokens, paths: _Paths) -> Iterator[tuple[int, np.ndarray]]:
+    """The chunk's tokens that have turns, in parts of one class and TURN_BATCH at most: a class's weights are its own, and few
+    enough for a processor's cache."""
+    order = np.argsort(t.y.astype(np.uint8), kind="stable")
+    order = order[paths.n[t.code[order]] > 0]
+    ends = np.searchsorted(t.y[order], np.arange(END + 1))
+    for k in range(END):
+        for a in range(ends[k], ends[k + 1], TURN_BATCH):
+            yield k, order[a : min(a + TURN_BATCH, ends[k + 1])]
 
 
 class _Tokens:
@@ -102,9 +228,9 @@ class _Tokens:
         self.code[inner] = codes
         self.inner = inner
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        hashes = np.array([*map(xxhash.xxh64_intdigest, self.forms), 1], np.uint64)
+        self.hashes = np.append(hashes_of(self.forms), np.uint64(1))
         self.classes = np.append(classes_of(self.forms), END)
-        h, self.y = hashes[self.code], self.classes[self.code]
+        h, self.y = self.hashes[self.code], self.classes[self.code]
         # the first places of each text have no such history
         early = [self.starts[self.counts > k] + k for k in range(3)]
 
@@ -117,32 +243,37 @@ class _Tokens:
 
         h1, h2 = back(h, 1, _NONE), back(h, 2, _NONE)
         c1, c2, c3 = (back(self.y, k, END) for k in (1, 2, 3))
-        shift = np.uint64(64 - ROWS.bit_length() + 1)
         classes = ((c1 * CLASSES + c2) * CLASSES + c3).astype(np.uint64)
-        self.rows = np.empty((FEATURES, n), np.uint16)
+        self.keys = np.empty((FEATURES, n), np.uint32)
         # the token before, the two before, the one before that (skipping one), the classes of three
         for i, x in enumerate((h1, h1 * _ODD + h2, h2, classes)):
-            self.rows[i] = mix64(x + np.uint64(i << 56)) >> shift
+            self.keys[i] = mix64(x + np.uint64(i << 56)) >> np.uint64(32)
+        self.rows = (self.keys >> np.uint32(32 - ROWS.bit_length() + 1)).astype(np.uint16)
 
 
 def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[0]]
+    z = w.take(rows[0], 0)
     for r in rows[1:]:
-        z += w[r]
+        z += w.take(r, 0)
     z += bias
     z -= z.max(1, keepdims=True)
     return z
 
 
 def _train(shared, bias):
-    """(text) -> block, updates, change: what this task's texts make of the last weights."""
+    """(text) -> block, updates, change: what this task's texts make of the last weights. The turns' blocks come after
+    those of the classes' ROWS, with precisions for updates."""
 
     def run(batches):
-        old = shared.value
+        old, cells, tree = shared.value
         where = np.empty(ROWS, np.intp)
         w, square, seen = old.copy(), np.full(old.shape, 1.0, np.float32), np.zeros(ROWS, np.float32)
+        turns = [_TurnWeights(c) for c in cells]
         for b in _chunks(batches, 0):
             t = _Tokens(b.column(0).to_pylist())
+            paths = tree.paths(t)
+            for k, at in _by_class(t, paths):
+                turns[k].learn(_Turns(paths, t, at, len(cells[k])))
             for a in range(0, len(t.y), BATCH):
                 rows, y = t.rows[:, a : a + BATCH], t.y[a : a + BATCH]
                 p = np.exp(_logits(w, bias, rows))
@@ -163,48 +294,88 @@ def _train(shared, bias):
                 square[own] = scale
                 w[own] -= RATE * g / np.sqrt(scale)
                 seen[own] += times[own]
+            del t, paths  # before the next chunk takes their place
         for k in range(0, ROWS, BLOCK_ROWS):
             part = slice(k, k + BLOCK_ROWS)
             if seen[part].any():
                 change = (w[part] - old[part]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[part].tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())], names=["block", "updates", "change"])
+                yield _block(k, seen[part], change)
+        for k, (c, new) in enumerate(zip(cells, turns)):
+            if (new.square > 1).any():
+                precision = np.minimum(np.rint(np.log2(new.square) * OCTAVE), 255).astype(np.uint8)
+                yield _block(ROWS + k, precision, (new.w - c).astype(np.float16))
 
     return run
 
 
+def _block(k: int, updates: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([updates.tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())], names=["block", "updates", "change"])
+
+
+class _TurnWeights:
+    """The weights of a class's turns as a task learns them, with AdaGrad's sums of squares."""
+
+    def __init__(self, cells: np.ndarray):
+        self.w, self.square, self.sums = cells.copy(), np.full(len(cells), 1.0, np.float32), np.zeros(len(cells), np.float32)
+
+    def learn(self, turns: _Turns) -> None:
+        every = turns.cells.ravel()
+        w = self.w.take(turns.cells)
+        with np.errstate(over="ignore"):
+            g = 1 / (1 + np.exp(-turns.logits(w))) - turns.right
+        np.add.at(self.sums, every, np.tile(g, FEATURES))
+        g = self.sums.take(every)
+        scale = self.square.take(every) + g * g
+        self.square[every] = scale  # a cell that comes twice gets the same twice
+        self.w[every] = w.ravel() - TURN_RATE * g / np.sqrt(scale)
+        self.sums[every] = 0
+
+
 def _averaged(batches):
     """Sums a stream of changes, whatever blocks it has; one row for each block."""
     sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
         for k, n, d in zip(*(c.to_pylist() for c in b.columns)):
-            n = np.frombuffer(n, np.float32).astype(np.float64)
-            d = np.frombuffer(d, np.float16).reshape(BLOCK_ROWS, CLASSES).astype(np.float64) * n[:, None]
+            if k < ROWS:
+                n = np.frombuffer(n, np.float32).astype(np.float64)
+                d = np.frombuffer(d, np.float16).reshape(BLOCK_ROWS, CLASSES).astype(np.float64) * n[:, None]
+            else:
+                n = np.exp2(np.frombuffer(n, np.uint8) / OCTAVE)
+                d = np.frombuffer(d, np.float16) * n
+                n -= 1  # the squares of this task alone
             have = sums.get(k)
             sums[k] = (n, d) if have is None else (have[0] + n, have[1] + d)
     for k, (n, d) in sums.items():
-        mean = (d / np.maximum(n, 1)[:, None]).astype(np.float32)
+        mean = (d / np.maximum(n, 1)[:, None] if k < ROWS else d / (1 + n)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "change"])
 
 
-def train(texts: DataFrame, part: Column, bias: np.ndarray) -> np.ndarray:
-    """The weights. part: the round of each text, 0 to ROUNDS - 1."""
+def train(texts: DataFrame, part: Column, bias: np.ndarray, tree: Tree, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The weights of classes, and of turns for each class. part: the round of each text, 0 to ROUNDS - 1; n: how many tokens they have."""
     spark = texts.sparkSession
     w = np.zeros((ROWS, CLASSES), np.float32)
+    share = tree.mass / tree.mass.sum() * min(1 << CELL_BITS, max(1 << 16, n * CELLS_A_TOKEN)) / FEATURES
+    cells = [np.zeros(FEATURES << round(math.log2(max(x, 16))), np.float32) for x in share]
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(w)
-        change = texts.filter(part == r).select("text").mapInArrow(_train(shared, bias), "block int, updates binary, change binary")
+        shared = spark.sparkContext.broadcast((w, cells, tree))
+        own = texts.filter(part == r).select("text").coalesce(n // ROUNDS // TASK_TOKENS + TASKS)
+        change = own.mapInArrow(_train(shared, bias), "block int, updates binary, change binary")
         w = w.copy()
-        for row in change.repartition("block").mapInArrow(_averaged, "block int, change binary").collect():  # ROWS * CLASSES numbers
-            w[row.block : row.block + BLOCK_ROWS] += np.frombuffer(row.change, np.float32).reshape(BLOCK_ROWS, CLASSES)
+        for row in change.repartition("block").mapInArrow(_averaged, "block int, change binary").toLocalIterator():  # ROWS * CLASSES + 2^CELL_BITS numbers
+            d = np.frombuffer(row.change, np.float32)
+            if row.block < ROWS:
+                w[row.block : row.block + BLOCK_ROWS] += d.reshape(BLOCK_ROWS, CLASSES)
+            else:
+                cells[row.block - ROWS] = cells[row.block - ROWS] + d
         shared.unpersist()
-    return w
+    return w, cells
 
 
 class Model:
-    """What scoring needs: weights, class totals and the frequent tokens' counts."""
+    """What scoring needs: weights, class totals and the trees with the frequent tokens' counts."""
 
-    def __init__(self, w, bias, totals, distinct, head, end_count):
-        self.w, self.bias, self.head, self.end_count = w, bias, head, end_count
+    def __init__(self, w, bias, totals, distinct, cells, tree, end_count):
+        self.w, self.bias, self.cells, self.tree, self.end_count = w, bias, cells, tree, end_count
         self.below = np.log10(totals[:END] + 0.5 * (distinct[:END] + 1))
         self.below = np.append(self.below, 0.0)
 
@@ -214,11 +385,12 @@ def _score(shared):
 
     def run(batches):
         m = shared.value
-        head = m.head
+        tree = m.tree
         for b in _chunks(batches, 3):
             t = _Tokens(b.column(3).to_pylist())
             n = len(t.counts)
-            c = np.array([*(head.get(f, -1) for f in t.forms), 0], np.float64)
+            leaf = np.fromiter((tree.leaf.get(f, -1) for f in t.forms), np.int64, len(t.forms))
+            c = np.append(np.where(leaf < 0, -1, np.append(tree.counts, 0)[leaf]), 0)
             known = c >= 0
             logs = np.where(known, np.log10(np.maximum(c, 0) + 0.5), 0.0)
             logs[-1] = 0.0  # the end's part is added for each text
@@ -226,6 +398,9 @@ def _score(shared):
             for a in range(0, len(t.y), BATCH):
                 z, y = _logits(m.w, m.bias, t.rows[:, a : a + BATCH]), t.y[a : a + BATCH]
                 part[a : a + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
+            paths = tree.paths(t)
+            for k, at in _by_class(t, paths):
+                part[at] += _Turns(paths, t, at, len(m.cells[k])).gain(m.cells[k])
             total = np.add.reduceat(part, t.starts) / math.log(10) - np.add.reduceat(m.below[t.y], t.starts)
             counted = np.add.reduceat(logs[t.code], t.starts) + math.log10(m.end_count + 0.5)
             n_head = np.add.reduceat((known[t.code] & t.inner).astype(np.int64), t.starts) + (m.end_count > 0)
@@ -251,9 +426,20 @@ def fit(docs: DataFrame, training: Column, text: str = "text") -> tuple[Model, D
         totals[r["class"]], distinct[r["class"]] = r.n, r.v if r.n else 0
     n, v = int(totals.sum()), int(distinct.sum())
     bias = np.log((totals + 0.5) / (n + 0.5 * CLASSES)).astype(np.float32)
-    head = counts.filter(F.col("token").isNotNull() & (F.col("c") * HEAD >= n)).select("token", "c").collect() if n else []
-    w = train(texts, F.col("part"), bias)
-    return Model(w, bias, totals, distinct, {bytes(r.token): r.c for r in head}, int(totals[END])), counts, n, v
+    w, cells = train(texts, F.col("part"), bias, tree := tree_of(counts, n, v), n)
+    return Model(w, bias, totals, distinct, cells, tree, int(totals[END])), counts, n, v
+
+
+def tree_of(counts: DataFrame, n: int, v: int) -> Tree:
+    words, often = counts.filter("token is not null"), F.col("c") * HEAD >= n
+    head = sorted(words.filter(often).select("token", "class", "c").collect()) if n else []  # HEAD at most
+    # shared leaves: a power of two for each class, with FORMS_A_SPOT forms on average
+    bits = min(SPOT_BITS, max(0, (v - len(head)) // (END * FORMS_A_SPOT)).bit_length())
+    shared = np.full((END, 1 << bits), 0.5 / (1 << bits))
+    rare = words.filter(~often).groupBy("class", F.shiftright("spot", SPOT_BITS - bits).alias("spot"))
+    for r in rare.agg(F.sum(F.col("c") + 0.5).alias("mass")).collect() if n else []:  # END * 2^SPOT_BITS at most
+        shared[r["class"], r.spot] += r.mass
+    return Tree([bytes(r.token) for r in head], np.array([r["class"] for r in head], np.int64), np.array([r.c for r in head], np.float64), shared)
 
 
 def scored(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
@@ -272,15 +458,17 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
     rare = rare.agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rare"))
     rows = parts.drop("tail").join(rare, "uid", "left")
     counted = F.col("counted") + F.coalesce("rare", F.lit(0.0))
+    n_known = F.col("n_head") + F.coalesce("n_rare", F.lit(0))
     return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        n_known.alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (counted - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"),
-        # a class's own tokens take their counts' part from the class; the end is all of its class
-        (counted - math.log10(model.end_count + 0.5) + F.col("classed")).alias("score"),
+        # a class's own tokens take their counts' part from the class; the end is all of its class; unknown tokens have an
+        # equal part of their class's half count on each shared leaf
+        (counted - math.log10(model.end_count + 0.5) + F.col("classed") - (F.col("n_tokens") - n_known) * math.log10(model.tree.spots)).alias("score"),
     )
 
 

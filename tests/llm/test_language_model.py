@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import language_model as L
 
@@ -57,3 +58,49 @@ def test_two_tokens_before_are_a_feature():
 
 def test_nothing(no_docs):
     assert L.scored(no_docs, L.remainder() == 1).count() == 0
+
+
+def within_class(model, texts):
+    """Of each token, the natural log of how much likelier in its class the history makes it than the counts."""
+    t = L._Tokens(texts)
+    paths, gain = model.tree.paths(t), np.zeros(len(t.y))
+    for k, at in L._by_class(t, paths):
+        gain[at] = L._Turns(paths, t, at, len(model.cells[k])).gain(model.cells[k])
+    return t, gain
+
+
+def test_history_chooses_within_a_class(spark):
+    assert L.class_of(b"singing") == L.class_of(b"ringing")
+    texts = [f"{i} " + ("red singing blue ringing ", "blue ringing red singing ")[i % 2] * 10 for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    t, gain = within_class(L.fit(docs, F.lit(True))[0], [b"red singing", b"red ringing"])
+    fit, unfit = gain[t.starts + 1]  # the words have the same class and count
+    assert fit > 0.1 and unfit < -0.1
+
+
+def test_probabilities_within_a_class_sum_to_one(docs, monkeypatch):
+    for head, forms in ((L.HEAD, 64), (50, 1)):
+        monkeypatch.setattr(L, "HEAD", head)
+        monkeypatch.setattr(L, "FORMS_A_SPOT", forms)
+        model, counts, *_ = L.fit(docs, L.remainder() != 1)
+        tree = model.tree
+        c = {bytes(r.token): r.c for r in counts.collect() if r.token is not None}
+        unknown, i = {}, 0
+        while len(unknown) < L.END * tree.spots:  # one for each shared leaf
+            form, i = b"unknown%x" % i, i + 1
+            unknown.setdefault((L.class_of(form), int(L.spots_of(L.hashes_of([form]))[0]) * tree.spots >> L.SPOT_BITS), form)
+        forms = [*c, *unknown.values()]
+        t, gain = within_class(model, [b"the is " + f for f in forms])
+        at = t.starts + 2
+        mass = np.array([c[f] + 0.5 if f in c else 0.5 / tree.spots for f in forms])
+        p = mass / 10 ** model.below[t.y[at]]
+        assert np.allclose(np.bincount(t.y[at], p * np.exp(gain[at]), L.END), 1, atol=1e-5)
+        assert np.abs(gain[at]).max() > 0.1  # the history has a say
+
+
+def test_merging_adds_what_few_know_and_averages_what_all_know():
+    def merged(square, times):
+        b = L._block(L.ROWS, np.full(8, round(L.OCTAVE * math.log2(square)), np.uint8), np.full(8, 0.25, np.float16))
+        return np.frombuffer(next(L._averaged([b] * times)).column(1)[0].as_py(), np.float32)[0]
+
+    assert abs(merged(1, 2) - 0.5) < 1e-6 and abs(merged(2**12, 2) - 0.25) < 1e-3
