@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each task first reduces its own edges to a spanning star forest, which bounds what a
-hub sends. Each round is a written table, so lineage stays short; nothing but a
-row of checksums reaches the driver.
+hub sends. FEW edges at most are then merged by one task: rounds over so little would only burden the driver, which
+plans each and holds the small tables that its joins broadcast. More edges go through the rounds, each a written table, so
+that lineage stays short. Nothing but a row of checksums reaches the driver.
 
 Defined cases: an edge with a null end, or from a node to itself, links nothing; repeated edges count once; an empty
 table gives no row; columns but u and v are ignored.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import written
 
 PAIR = "u long, v long"
+#: At most 2^19 nodes, fewer than a task holds in _forest().
+FEW = 1 << 18
 
 
 def _forest(batches):
@@ -62,6 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     """u and v, the least node of u's component, for every node with an edge to another (but the least ones)."""
     flat = edges.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
     now = written(flat.mapInArrow(_forest, PAIR).distinct(), "cc")
+    if now.count() <= FEW:
+        return written(now.coalesce(1).mapInArrow(_forest, PAIR), "cc")
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -353,4 +353,5 @@ def near_links(sketched: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_keys(shared), "place long, t long, size int, most int, root long, folded binary")
     rows = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     pairs = written(rows.mapInArrow(_across, "t long, r long").distinct(), "near-across")
+    shared.destroy()  # else it stays with the driver until that happens to collect its garbage
     return first.union(_links(sketched, pairs))

@@ -78,6 +78,26 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr("ledgerflow.llm.components.FEW", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(2000), rng.randrange(2000)) for _ in range(1500)] + [(3000 + i, 3001 + i) for i in range(300)]
+    got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    assert got == {k: v for k, v in roots(edges, {x for e in edges for x in e}).items() if k != v}
+
+
+def test_few_edges_cost_the_driver_few_jobs(spark):
+    # each round is planned, and its small tables broadcast, by the driver
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long").repartition(5)
+    spark.sparkContext.setJobGroup("few-edges", "")
+    try:
+        components(edges)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 6
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
