@@ -32,6 +32,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import encoded, mix64, split_all, starts_of, table, text_bytes, written
+from ledgerflow.llm.common import mix64, starts_of, table, text_bytes, written
 
 CLASSES, ROWS, FEATURES, ROUNDS = 32, 1 << 15, 4, 3
 HEAD = 1 << 20
@@ -64,11 +66,11 @@ def class_of(form: bytes) -> int:
     return xxhash.xxh64_intdigest(form if len(form) <= 3 else b"-" + form[-2:]) % END
 
 
-def classes_of(forms: list[bytes]) -> np.ndarray:
+def classes_of(forms: list[bytes] | pa.Array) -> np.ndarray:
     """class_of() each, by way of the few distinct endings."""
-    if not forms:
+    if not len(forms):
         return np.empty(0, np.int64)
-    words = pa.array(forms, pa.binary())
+    words = forms if isinstance(forms, pa.Array) else pa.array(forms, pa.binary())
     short = pa.compute.less_equal(pa.compute.binary_length(words), 3)
     ends = pa.compute.if_else(short, words, pa.compute.binary_join_element_wise(b"-", pa.compute.binary_slice(words, -2), b"")).dictionary_encode()
     own = [xxhash.xxh64_intdigest(e) % END for e in ends.dictionary.to_pylist()]
@@ -94,15 +96,35 @@ def _chunks(batches, at: int):
                 yield b.slice(a, c - a)
 
 
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of the forms of all words in a row, A-Z in lower case, the distinct forms, and how many words each text has. Arrow
+    cuts at the six characters that bytes.split() cuts at, and leaves bytes beyond ASCII as they are; no word becomes an object."""
+    parts = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.cast(pa.string(), safe=False)))
+    words, ends = parts.flatten(), np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))
+    real = pa.compute.greater(pa.compute.binary_length(words), 0)  # white space at a text's ends leaves an empty word
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))]).astype(np.int64)
+    counts = np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
+    d = (words if before[-1] == len(words) else words.filter(real)).dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.cast(pa.binary()), counts
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """to_pylist() of a binary array without nulls, a slice of its buffer each."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).tolist()
+    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    return [raw[a:c] for a, c in zip(ends, ends[1:])]
+
+
 def _count(batches):
     """(text) -> token, class, spot, n: a row for each form of a chunk. The end of texts is the null token."""
     for b in _chunks(batches, 0):
-        flat, counts = split_all([t.lower() for t in b.column(0).to_pylist()])
-        codes, forms = encoded(flat)
-        n = np.bincount(codes, minlength=len(forms)) if len(forms) else np.empty(0, np.int64)
-        classes = np.append(classes_of(forms), END).astype(np.int32)
-        spots = np.append(spots_of(hashes_of(forms)), 0).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([*forms, None], pa.binary()), pa.array(classes), pa.array(spots), pa.array([*n, len(counts)], pa.int64())], names=["token", "class", "spot", "n"])
+        codes, words, counts = tokenized(b.column(0))
+        n = np.bincount(codes, minlength=len(words)) if len(words) else np.empty(0, np.int64)
+        classes = np.append(classes_of(words), END).astype(np.int32)
+        spots = np.append(spots_of(hashes_of(listed(words))), 0).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.binary())]), pa.array(classes), pa.array(spots), pa.array([*n, len(counts)], pa.int64())], names=["token", "class", "spot", "n"])
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -144,8 +166,8 @@ class Tree:
                 node += 1
 
     def paths(self, t: _Tokens) -> _Paths:
-        leaf = np.fromiter((self.leaf.get(f, -1) for f in t.forms), np.int64, len(t.forms))
-        rare = np.flatnonzero(leaf < 0)
+        own = np.fromiter(map(self.leaf.get, t.forms, repeat(-1)), np.int64, len(t.forms))
+        leaf, rare = own.copy(), np.flatnonzero(own < 0)
         leaf[rare] = len(self.leaf) + t.classes[rare] * self.spots + spots_of(t.hashes[rare]) * self.spots // (1 << SPOT_BITS)
         up, right, at = [np.full(len(leaf) + 1, -1, np.int32)], [np.zeros(len(leaf) + 1, bool)], np.append(leaf, -1)
         while (above := self.parent[at]).max() >= 0:
@@ -153,19 +175,23 @@ class Tree:
             right.append(self.right[at])
             at = above
         up, right = np.array(up).T, np.array(right).T
-        return _Paths(up, right, up >= 0, self.bias)
+        return _Paths(up, right, up >= 0, self.bias, own)
 
 
 class _Paths:
-    """The turns to each of a chunk's forms and to the end, which has none: form by form, from the leaf up."""
+    """The turns to each of a chunk's forms and to the end, which has none: form by form, from the leaf up. own: the forms' leaves,
+    -1 where these are shared."""
 
-    def __init__(self, up: np.ndarray, right: np.ndarray, real: np.ndarray, bias: np.ndarray):
-        self.n = real.sum(1)
+    def __init__(self, up: np.ndarray, right: np.ndarray, real: np.ndarray, bias: np.ndarray, own: np.ndarray):
+        self.n, self.own = real.sum(1), own
         self.starts = starts_of(self.n)
         node, self.right = up[real], right[real].astype(np.float32)
         self.bias, self.key = bias[node], node.astype(np.uint32) * _ODD_NODE
-        #: each form's log probability in its class by the biases alone
-        self.prior = np.bincount(np.repeat(np.arange(len(self.n)), self.n), _log_of_turns(self.bias, self.right), len(self.n))
+
+    @cached_property
+    def prior(self) -> np.ndarray:
+        """Each form's log probability in its class by the biases alone."""
+        return np.bincount(np.repeat(np.arange(len(self.n)), self.n), _log_of_turns(self.bias, self.right), len(self.n))
 
 
 def _log_of_turns(z: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -177,11 +203,11 @@ class _Turns:
     """The turns of some tokens of a chunk, all of one class, each with the cells of its weights."""
 
     def __init__(self, paths: _Paths, t: _Tokens, at: np.ndarray, n_cells: int):
-        code = t.code[at]
+        self.paths, self.code = paths, (code := t.code[at])
         n = paths.n[code]
         self.starts = starts_of(n)
         place = np.repeat(paths.starts[code] - self.starts, n) + np.arange(n.sum())
-        self.right, self.bias, self.prior, key = paths.right.take(place), paths.bias.take(place), paths.prior[code], paths.key.take(place)
+        self.right, self.bias, key = paths.right.take(place), paths.bias.take(place), paths.key.take(place)
         own = (n_cells // FEATURES).bit_length() - 1  # each feature has a part of the table: those of many values don't blur the others
         self.cells = np.empty((FEATURES, len(key)), np.intp)
         for i in range(FEATURES):
@@ -198,7 +224,7 @@ class _Turns:
     def gain(self, cells: np.ndarray) -> np.ndarray:
         """For each token, the log probability of its turns less that by the counts alone."""
         z = self.logits(cells.take(self.cells))
-        return np.add.reduceat(_log_of_turns(z, self.right), self.starts, dtype=np.float64) - self.prior
+        return np.add.reduceat(_log_of_turns(z, self.right), self.starts, dtype=np.float64) - self.paths.prior[self.code]
 
 
 def _by_class(t: _Tokens, paths: _Paths) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,9 +241,9 @@ def _by_class(t: _Tokens, paths: _Paths) -> Iterator[tuple[int, np.ndarray]]:
 class _Tokens:
     """A chunk's tokens with their classes and feature rows; each text has its end as its last token."""
 
-    def __init__(self, texts: list[bytes]):
-        flat, counts = split_all([t.lower() for t in texts])
-        codes, self.forms = encoded(flat)
+    def __init__(self, texts: list[bytes] | pa.Array):
+        codes, self.words, counts = tokenized(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        self.forms = listed(self.words)
         self.counts = counts + 1
         self.starts = starts_of(self.counts)
         n = int(self.counts.sum())
@@ -229,7 +255,7 @@ class _Tokens:
         self.inner = inner
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self.hashes = np.append(hashes_of(self.forms), np.uint64(1))
-        self.classes = np.append(classes_of(self.forms), END)
+        self.classes = np.append(classes_of(self.words), END)
         h, self.y = self.hashes[self.code], self.classes[self.code]
         # the first places of each text have no such history
         early = [self.starts[self.counts > k] + k for k in range(3)]
@@ -270,7 +296,7 @@ def _train(shared, bias):
         w, square, seen = old.copy(), np.full(old.shape, 1.0, np.float32), np.zeros(ROWS, np.float32)
         turns = [_TurnWeights(c) for c in cells]
         for b in _chunks(batches, 0):
-            t = _Tokens(b.column(0).to_pylist())
+            t = _Tokens(b.column(0))
             paths = tree.paths(t)
             for k, at in _by_class(t, paths):
                 turns[k].learn(_Turns(paths, t, at, len(cells[k])))
@@ -313,21 +339,25 @@ def _block(k: int, updates: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
 
 
 class _TurnWeights:
-    """The weights of a class's turns as a task learns them, with AdaGrad's sums of squares."""
+    """The weights of a class's turns as a task learns them, with AdaGrad's sums of squares: real and imaginary parts of one
+    array, as both are always read and written together."""
 
     def __init__(self, cells: np.ndarray):
-        self.w, self.square, self.sums = cells.copy(), np.full(len(cells), 1.0, np.float32), np.zeros(len(cells), np.float32)
+        self.both, self.sums = (cells + np.complex64(1j)).astype(np.complex64), np.zeros(len(cells), np.float32)
+        self.w, self.square = self.both.real, self.both.imag
 
     def learn(self, turns: _Turns) -> None:
         every = turns.cells.ravel()
-        w = self.w.take(turns.cells)
+        both = self.both.take(every)
+        w = both.real.reshape(turns.cells.shape)
         with np.errstate(over="ignore"):
             g = 1 / (1 + np.exp(-turns.logits(w))) - turns.right
         np.add.at(self.sums, every, np.tile(g, FEATURES))
         g = self.sums.take(every)
-        scale = self.square.take(every) + g * g
-        self.square[every] = scale  # a cell that comes twice gets the same twice
-        self.w[every] = w.ravel() - TURN_RATE * g / np.sqrt(scale)
+        scale = both.imag + g * g
+        both.real -= TURN_RATE * g / np.sqrt(scale)
+        both.imag = scale
+        self.both[every] = both  # a cell that comes twice gets the same twice
         self.sums[every] = 0
 
 
@@ -387,9 +417,9 @@ def _score(shared):
         m = shared.value
         tree = m.tree
         for b in _chunks(batches, 3):
-            t = _Tokens(b.column(3).to_pylist())
-            n = len(t.counts)
-            leaf = np.fromiter((tree.leaf.get(f, -1) for f in t.forms), np.int64, len(t.forms))
+            t = _Tokens(b.column(3))
+            n, paths = len(t.counts), tree.paths(t)
+            leaf = paths.own
             c = np.append(np.where(leaf < 0, -1, np.append(tree.counts, 0)[leaf]), 0)
             known = c >= 0
             logs = np.where(known, np.log10(np.maximum(c, 0) + 0.5), 0.0)
@@ -398,7 +428,6 @@ def _score(shared):
             for a in range(0, len(t.y), BATCH):
                 z, y = _logits(m.w, m.bias, t.rows[:, a : a + BATCH]), t.y[a : a + BATCH]
                 part[a : a + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
-            paths = tree.paths(t)
             for k, at in _by_class(t, paths):
                 part[at] += _Turns(paths, t, at, len(m.cells[k])).gain(m.cells[k])
             total = np.add.reduceat(part, t.starts) / math.log(10) - np.add.reduceat(m.below[t.y], t.starts)
@@ -408,7 +437,7 @@ def _score(shared):
             pair = t.doc[rare] * (len(t.forms) + 1) + t.code[rare]
             pair, times = np.unique(pair, return_counts=True)
             ends = np.searchsorted(pair // (len(t.forms) + 1), np.arange(n + 1)).astype(np.int32)
-            words = pa.array(t.forms, pa.binary()).take(pa.array(pair % (len(t.forms) + 1)))
+            words = t.words.take(pa.array(pair % (len(t.forms) + 1)))
             tail = pa.StructArray.from_arrays([words, pa.array(times.astype(np.int32))], names=["token", "n"])
             cols = [*b.columns[:3], pa.array(t.counts), pa.array(n_head), pa.array(counted), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), tail)]
             yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "held_out", "n_tokens", "n_head", "counted", "classed", "tail"])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import language_model as L
@@ -104,3 +105,32 @@ def test_merging_adds_what_few_know_and_averages_what_all_know():
         return np.frombuffer(next(L._averaged([b] * times)).column(1)[0].as_py(), np.float32)[0]
 
     assert abs(merged(1, 2) - 0.5) < 1e-6 and abs(merged(2**12, 2) - 0.25) < 1e-3
+
+
+def test_words_are_those_of_split():
+    texts = [b"", b" \t\r\n", b"  The\x0bcat\x0c\x0c the CAT\n", "Ñandú\xa0É x\x85 Y\x1cz".encode(), b"\xff\xfe A\x00b \xc3", b"end"]
+    all_of = pa.array([b"not this", *texts, b"nor this"], pa.binary())
+    for part in (all_of.slice(1, len(texts)), all_of.slice(1, 2), all_of.slice(0, 0)):
+        codes, words, counts = L.tokenized(part)
+        want = [t.lower().split() for t in part.to_pylist()]
+        forms = L.listed(words)
+        assert forms == words.to_pylist() == list(dict.fromkeys(w for t in want for w in t))
+        assert [forms[c] for c in codes] == [w for t in want for w in t] and counts.tolist() == [len(t) for t in want]
+    assert L.listed(pa.array([b"a", b"", b"bc", b"d"], pa.binary()).slice(1, 2)) == [b"", b"bc"]
+
+
+def test_a_form_is_looked_up_once_a_chunk(docs):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    class Shared:
+        value = L.fit(docs, L.remainder() != 1)[0]
+
+    leaf = Shared.value.tree.leaf = Counted(Shared.value.tree.leaf)
+    rows = [pa.array([1], pa.int64())] * 2 + [pa.array([False]), pa.array([b"the is on the unheard-of"], pa.binary())]
+    list(L._score(Shared)([pa.RecordBatch.from_arrays(rows, names=["uid", "doc_id", "held_out", "text"])]))
+    assert leaf.asked == 4
