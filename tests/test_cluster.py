@@ -37,11 +37,11 @@ def test_embedded_databases_of_the_driver(tmp_path):
         if p.name != "work":
             (home / p.name).symlink_to(p)
     env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "PYTHONPATH": str(Path(__file__).parent.parent), "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1"}
-    run = subprocess.run([sys.executable, "-c", RUN, "jdbc_publish"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    run = subprocess.run([sys.executable, "-c", RUN, "jdbc_scan", "jdbc_publish"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert run.returncode == 0, run.stderr[-3000:]
     got, c = json.loads(run.stdout.splitlines()[-1]), duckdb.connect()
     for t in ("region", "nation"):
         c.sql(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
-    for q in ("jdbc_publish",):
+    for q in ("jdbc_scan", "jdbc_publish"):
         assert got[q] == sorted(map(list, c.sql(queries.ORACLES[q]).fetchall()))
     assert got["rows"] == [2500, 2500, 0]
