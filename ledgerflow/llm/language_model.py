@@ -47,7 +47,10 @@ from ledgerflow.llm.common import mix64, starts_of, table, text_bytes, written
 CLASSES, ROWS, FEATURES, ROUNDS = 32, 1 << 15, 4, 3
 HEAD = 1 << 20
 BATCH, RATE, BLOCK_ROWS = 16384, 0.3, 1024
+SUB_BATCH, SAFE_LOGIT = 2048, 80  # what a processor's cache holds; exp() is finite and above zero in single precision
+DENSE = 16  # a table of fewer cells for each that is used is cleared as a whole
 CHUNK_BYTES = 5_000_000
+HELD_FORMS, HELD_BYTES = 1 << 20, 32_000_000
 CELL_BITS, CELLS_A_TOKEN = 22, 4
 TURN_BATCH, TURN_RATE, OCTAVE = 1024, 0.1, 12
 SPOT_BITS, FORMS_A_SPOT = 13, 64
@@ -81,6 +84,10 @@ def hashes_of(forms: list[bytes]) -> np.ndarray:
     return np.array([*map(xxhash.xxh64_intdigest, forms)], np.uint64)
 
 
+def token_hash(token: Column) -> Column:
+    return F.xxhash64(token)
+
+
 def spots_of(hashes: np.ndarray) -> np.ndarray:
     """Which of the 2^SPOT_BITS finest shared leaves of its class a form has."""
     return (hashes >> np.uint64(64 - SPOT_BITS)).astype(np.int64)
@@ -118,13 +125,28 @@ def listed(words: pa.Array) -> list[bytes]:
 
 
 def _count(batches):
-    """(text) -> token, class, spot, n: a row for each form of a chunk. The end of texts is the null token."""
+    """(text) -> token, class, spot, n: a row for each form of some chunks, of HELD_FORMS or few more together. The end of texts is
+    the null token."""
+
+    def rows():
+        all_words = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
+        forms = all_words.dictionary
+        n = np.bincount(all_words.indices.to_numpy(), np.concatenate(counts), len(forms)).astype(np.int64) if len(forms) else np.empty(0, np.int64)
+        classes = np.append(classes_of(forms), END).astype(np.int32)
+        spots = np.append(spots_of(hashes_of(listed(forms))), 0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([forms, pa.nulls(1, pa.binary())]), pa.array(classes), pa.array(spots), pa.array([*n, texts], pa.int64())], names=["token", "class", "spot", "n"])
+
+    words, counts, texts, held, size = [], [], 0, 0, 0
     for b in _chunks(batches, 0):
-        codes, words, counts = tokenized(b.column(0))
-        n = np.bincount(codes, minlength=len(words)) if len(words) else np.empty(0, np.int64)
-        classes = np.append(classes_of(words), END).astype(np.int32)
-        spots = np.append(spots_of(hashes_of(listed(words))), 0).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.binary())]), pa.array(classes), pa.array(spots), pa.array([*n, len(counts)], pa.int64())], names=["token", "class", "spot", "n"])
+        codes, own, per_text = tokenized(b.column(0))
+        words.append(own)
+        counts.append(np.bincount(codes, minlength=len(own)))
+        texts, held, size = texts + len(per_text), held + len(own), size + own.nbytes
+        if held >= HELD_FORMS or size >= HELD_BYTES:
+            yield rows()
+            words, counts, texts, held, size = [], [], 0, 0, 0
+    if texts:
+        yield rows()
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -196,7 +218,7 @@ class _Paths:
 
 def _log_of_turns(z: np.ndarray, right: np.ndarray) -> np.ndarray:
     z = z * (1 - 2 * right)
-    return -np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+    return -np.maximum(z, 0) - np.log(1 + np.exp(-np.abs(z)))
 
 
 class _Turns:
@@ -206,20 +228,24 @@ class _Turns:
         self.paths, self.code = paths, (code := t.code[at])
         n = paths.n[code]
         self.starts = starts_of(n)
-        place = np.repeat(paths.starts[code] - self.starts, n) + np.arange(n.sum())
-        self.right, self.bias, key = paths.right.take(place), paths.bias.take(place), paths.key.take(place)
+        token = np.repeat(np.arange(len(at)), n)
+        place = (paths.starts[code] - self.starts).take(token)
+        place += np.arange(len(token))
+        self.right, self.bias = paths.right.take(place), paths.bias.take(place)
         own = (n_cells // FEATURES).bit_length() - 1  # each feature has a part of the table: those of many values don't blur the others
-        self.cells = np.empty((FEATURES, len(key)), np.intp)
-        for i in range(FEATURES):
-            h = np.repeat(t.keys[i].take(at), n)
-            h ^= key
-            h *= _ODD_CELL
-            h >>= np.uint32(32 - own)
-            h += np.uint32(i << own)
-            self.cells[i] = h
+        h = np.ascontiguousarray(t.keys_by_token.take(at).take(token).view(np.uint32).reshape(-1, FEATURES).T)
+        h ^= paths.key.take(place)
+        h *= _ODD_CELL
+        h >>= np.uint32(32 - own)
+        h += (np.arange(FEATURES, dtype=np.uint32) << np.uint32(own))[:, None]
+        self.cells = h.astype(np.intp)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
-        return weights.sum(0) + self.bias
+        z = weights[0] + weights[1]
+        for w in weights[2:]:
+            z += w
+        z += self.bias
+        return z
 
     def gain(self, cells: np.ndarray) -> np.ndarray:
         """For each token, the log probability of its turns less that by the counts alone."""
@@ -253,10 +279,9 @@ class _Tokens:
         inner[ends] = False
         self.code[inner] = codes
         self.inner = inner
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self.hashes = np.append(hashes_of(self.forms), np.uint64(1))
         self.classes = np.append(classes_of(self.words), END)
-        h, self.y = self.hashes[self.code], self.classes[self.code]
+        h, self.y = self.hashes.take(self.code), self.classes.take(self.code)
         # the first places of each text have no such history
         early = [self.starts[self.counts > k] + k for k in range(3)]
 
@@ -267,25 +292,62 @@ class _Tokens:
                 out[at] = none
             return out
 
-        h1, h2 = back(h, 1, _NONE), back(h, 2, _NONE)
-        c1, c2, c3 = (back(self.y, k, END) for k in (1, 2, 3))
-        classes = ((c1 * CLASSES + c2) * CLASSES + c3).astype(np.uint64)
+        h2 = back(h, 2, _NONE)
+        h = back(h, 1, _NONE)
         self.keys = np.empty((FEATURES, n), np.uint32)
-        # the token before, the two before, the one before that (skipping one), the classes of three
-        for i, x in enumerate((h1, h1 * _ODD + h2, h2, classes)):
-            self.keys[i] = mix64(x + np.uint64(i << 56)) >> np.uint64(32)
+        # the token before, the two before, the one before that (skipping one), the classes of three: what one form decides is
+        # mixed once for it, what the classes decide once for all
+        for i, k in ((0, 1), (2, 2)):
+            self.keys[i] = back(_mixed(self.hashes, i).take(self.code), k, _mixed(np.array([_NONE], np.uint64), i)[0])
+        for part in _blocks(n, BATCH):
+            self.keys[1, part] = _mixed(h[part] * _ODD + h2[part], 1)
+        y = self.y.astype(np.uint16)
+        c1, c2, c3 = (back(y, k, END) for k in (1, 2, 3))
+        self.keys[3] = _MIXED_CLASSES.take((c1 * CLASSES + c2) * CLASSES + c3)
         self.rows = (self.keys >> np.uint32(32 - ROWS.bit_length() + 1)).astype(np.uint16)
 
+    @cached_property
+    def keys_by_token(self) -> np.ndarray:
+        """The four keys of each token as one number of 16 bytes."""
+        return np.ascontiguousarray(self.keys.T).view(np.complex128).ravel()
+
+
+def _mixed(x: np.ndarray, feature: int) -> np.ndarray:
+    return (mix64(x + np.uint64(feature << 56)) >> np.uint64(32)).astype(np.uint32)
+
+
+_MIXED_CLASSES = _mixed(np.arange(CLASSES**3, dtype=np.uint64), 3)
+
 
 def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials and their sum are finite and above zero."""
     z = w.take(rows[0], 0)
     for r in rows[1:]:
         z += w.take(r, 0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    if not (z.max() < SAFE_LOGIT and z.min() > -SAFE_LOGIT):  # a row's own maximum takes as long as the rest together
+        z -= z.max(1, keepdims=True)
     return z
 
 
+def _own_logits(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place of each row's class in z.ravel()."""
+    return np.arange(0, z.size, CLASSES) + y
+
+
+def _blocks(n: int, size: int) -> Iterator[slice]:
+    return (slice(a, a + size) for a in range(0, n, size))
+
+
+def _sums_by_row(err: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, the sum of the rows of err that it has: two classes at a time, as the parts of complex numbers."""
+    sums = np.zeros((CLASSES // 2, n), np.complex64)
+    for own, pair in zip(sums, np.ascontiguousarray(err.view(np.complex64).T)):
+        for place in places:
+            np.add.at(own, place, pair)
+    return np.ascontiguousarray(sums.T).view(np.float32)
+
+
 def _train(shared, bias):
     """(text) -> block, updates, change: what this task's texts make of the last weights. The turns' blocks come after
     those of the classes' ROWS, with precisions for updates."""
@@ -294,7 +356,7 @@ def _train(shared, bias):
         old, cells, tree = shared.value
         where = np.empty(ROWS, np.intp)
         w, square, seen = old.copy(), np.full(old.shape, 1.0, np.float32), np.zeros(ROWS, np.float32)
-        turns = [_TurnWeights(c) for c in cells]
+        turns, ones = [_TurnWeights(c) for c in cells], np.ones((CLASSES, 1), np.float32)
         for b in _chunks(batches, 0):
             t = _Tokens(b.column(0))
             paths = tree.paths(t)
@@ -302,23 +364,27 @@ def _train(shared, bias):
                 turns[k].learn(_Turns(paths, t, at, len(cells[k])))
             for a in range(0, len(t.y), BATCH):
                 rows, y = t.rows[:, a : a + BATCH], t.y[a : a + BATCH]
-                p = np.exp(_logits(w, bias, rows))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
+                p = np.empty((len(y), CLASSES), np.float32)
+                for part in _blocks(len(y), SUB_BATCH):
+                    z = _logits(w, bias, rows[:, part])
+                    np.exp(z, out=z)
+                    np.divide(z, z @ ones, out=p[part])
+                p.ravel()[_own_logits(p, y)] -= 1
                 flat = rows.ravel().astype(np.intp)
                 times = np.bincount(flat, minlength=ROWS)
                 own = np.flatnonzero(times)
                 where[own] = np.arange(len(own))
-                place = where[flat]
-                err, sums = np.ascontiguousarray(p.T), np.empty((CLASSES, len(own)), np.float32)
-                each = np.empty((FEATURES, len(y)))
-                for k in range(CLASSES):  # sums by feature row, a class at a time
-                    each[:] = err[k]
-                    sums[k] = np.bincount(place, each.ravel(), len(own))
-                g = np.ascontiguousarray(sums.T)
-                scale = square[own] + g * g
-                square[own] = scale
-                w[own] -= RATE * g / np.sqrt(scale)
+                g = _sums_by_row(p, where[flat].reshape(rows.shape), len(own))
+                for part in _blocks(len(own), SUB_BATCH):
+                    at, step = own[part], g[part]
+                    scale = square.take(at, 0)
+                    scale += step * step
+                    square[at] = scale
+                    step *= RATE
+                    step /= np.sqrt(scale, out=scale)
+                    new = w.take(at, 0)
+                    new -= step
+                    w[at] = new
                 seen[own] += times[own]
             del t, paths  # before the next chunk takes their place
         for k in range(0, ROWS, BLOCK_ROWS):
@@ -347,18 +413,26 @@ class _TurnWeights:
         self.w, self.square = self.both.real, self.both.imag
 
     def learn(self, turns: _Turns) -> None:
-        every = turns.cells.ravel()
-        both = self.both.take(every)
-        w = both.real.reshape(turns.cells.shape)
+        both = self.both.take(turns.cells)
         with np.errstate(over="ignore"):
-            g = 1 / (1 + np.exp(-turns.logits(w))) - turns.right
-        np.add.at(self.sums, every, np.tile(g, FEATURES))
-        g = self.sums.take(every)
-        scale = both.imag + g * g
-        both.real -= TURN_RATE * g / np.sqrt(scale)
-        both.imag = scale
-        self.both[every] = both  # a cell that comes twice gets the same twice
-        self.sums[every] = 0
+            g = 1 / (1 + np.exp(-turns.logits(both.real))) - turns.right
+        for cells, own in zip(turns.cells, both):  # no two features share a cell
+            np.add.at(self.sums, cells, g)
+            step = self.sums.take(cells)
+            scale = step * step
+            scale += own.imag
+            own.imag = scale
+            step *= TURN_RATE
+            step /= np.sqrt(scale, out=scale)
+            own.real -= step
+            self.both[cells] = own  # a cell that comes twice gets the same twice
+        if len(self.sums) < DENSE * turns.cells.size:
+            self.sums.fill(0)
+        else:
+            self.sums[turns.cells.ravel()] = 0
+
+
+_PRECISIONS = np.exp2(np.arange(256) / OCTAVE)
 
 
 def _averaged(batches):
@@ -370,7 +444,7 @@ def _averaged(batches):
                 n = np.frombuffer(n, np.float32).astype(np.float64)
                 d = np.frombuffer(d, np.float16).reshape(BLOCK_ROWS, CLASSES).astype(np.float64) * n[:, None]
             else:
-                n = np.exp2(np.frombuffer(n, np.uint8) / OCTAVE)
+                n = _PRECISIONS.take(np.frombuffer(n, np.uint8))
                 d = np.frombuffer(d, np.float16) * n
                 n -= 1  # the squares of this task alone
             have = sums.get(k)
@@ -415,7 +489,7 @@ def _score(shared):
 
     def run(batches):
         m = shared.value
-        tree = m.tree
+        tree, ones = m.tree, np.ones(CLASSES, np.float32)
         for b in _chunks(batches, 3):
             t = _Tokens(b.column(3))
             n, paths = len(t.counts), tree.paths(t)
@@ -425,16 +499,17 @@ def _score(shared):
             logs = np.where(known, np.log10(np.maximum(c, 0) + 0.5), 0.0)
             logs[-1] = 0.0  # the end's part is added for each text
             part = np.empty(len(t.y))
-            for a in range(0, len(t.y), BATCH):
-                z, y = _logits(m.w, m.bias, t.rows[:, a : a + BATCH]), t.y[a : a + BATCH]
-                part[a : a + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
+            for own in _blocks(len(t.y), SUB_BATCH):
+                z = _logits(m.w, m.bias, t.rows[:, own])
+                mine = z.ravel().take(_own_logits(z, t.y[own]))
+                part[own] = mine - np.log(np.exp(z, out=z) @ ones)
             for k, at in _by_class(t, paths):
                 part[at] += _Turns(paths, t, at, len(m.cells[k])).gain(m.cells[k])
             total = np.add.reduceat(part, t.starts) / math.log(10) - np.add.reduceat(m.below[t.y], t.starts)
             counted = np.add.reduceat(logs[t.code], t.starts) + math.log10(m.end_count + 0.5)
             n_head = np.add.reduceat((known[t.code] & t.inner).astype(np.int64), t.starts) + (m.end_count > 0)
             rare = np.flatnonzero(~known[t.code])
-            pair = t.doc[rare] * (len(t.forms) + 1) + t.code[rare]
+            pair = np.repeat(np.arange(n), t.counts)[rare] * (len(t.forms) + 1) + t.code[rare]
             pair, times = np.unique(pair, return_counts=True)
             ends = np.searchsorted(pair // (len(t.forms) + 1), np.arange(n + 1)).astype(np.int32)
             words = t.words.take(pa.array(pair % (len(t.forms) + 1)))
@@ -482,9 +557,11 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
     kind = T.StructType([rows.schema["uid"], rows.schema["doc_id"], rows.schema["held_out"], T.StructField("n_tokens", T.LongType()), T.StructField("n_head", T.LongType()), *doubles, T.StructField("tail", tail)])
     parts = written(rows.mapInArrow(_score(shared), kind), "lm-scored")
     rare = parts.select("uid", F.explode("tail").alias("t")).select("uid", F.col("t.token").alias("token"), F.col("t.n").alias("n"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = rare.join(counts.filter("token is not null").select("token", "c").hint("merge"), "token", "left").groupBy("uid")
-    rare = rare.agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rare"))
+    # tokens meet by a hash, as numbers are sorted faster than bytes are; of equal hashes, equal tokens (as = would be sorted by, too)
+    known = counts.filter("token is not null and c > 0").select(F.col("token").alias("own"), F.log10(F.col("c") + 0.5).alias("log"))
+    same = (token_hash(F.col("token")) == token_hash(F.col("own"))) & (F.col("token") <= F.col("own")) & (F.col("token") >= F.col("own"))
+    rare = rare.join(known.hint("merge"), same, "left").groupBy("uid")
+    rare = rare.agg(F.sum(F.col("n") * F.coalesce("log", F.lit(math.log10(0.5)))).alias("rare"), F.sum(F.when(F.col("log").isNotNull(), F.col("n")).otherwise(0)).alias("n_rare"))
     rows = parts.drop("tail").join(rare, "uid", "left")
     counted = F.col("counted") + F.coalesce("rare", F.lit(0.0))
     n_known = F.col("n_head") + F.coalesce("n_rare", F.lit(0))

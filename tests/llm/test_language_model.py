@@ -134,3 +134,87 @@ def test_a_form_is_looked_up_once_a_chunk(docs):
     rows = [pa.array([1], pa.int64())] * 2 + [pa.array([False]), pa.array([b"the is on the unheard-of"], pa.binary())]
     list(L._score(Shared)([pa.RecordBatch.from_arrays(rows, names=["uid", "doc_id", "held_out", "text"])]))
     assert leaf.asked == 4
+
+
+def test_a_form_is_counted_once_for_some_chunks(monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_BYTES", 10)
+    texts = pa.RecordBatch.from_arrays([pa.array([b"the cat the", b"", b"The dog", b"a cat"], pa.binary())], names=["text"])
+    for held, n_rows in ((1 << 20, 5), (1, 8)):
+        monkeypatch.setattr(L, "HELD_FORMS", held)
+        rows = [r for b in L._count([texts]) for r in b.to_pylist()]
+        total = Counter()
+        for r in rows:
+            total[r["token"]] += r["n"]
+            assert r["class"] == (L.END if r["token"] is None else L.class_of(r["token"]))
+        assert total == {b"the": 3, b"cat": 2, b"dog": 1, b"a": 1, None: 4}
+        assert len(rows) == n_rows if held > 1 else len(rows) >= n_rows
+
+
+def test_tokens_of_equal_hashes_are_told_apart(docs, corpus, monkeypatch):
+    monkeypatch.setattr(L, "HEAD", 50)
+    monkeypatch.setattr(L, "token_hash", F.length)
+    rows = L.scored(docs, L.remainder() == 1).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows), key=repr) == base(corpus)
+
+
+def test_sums_of_rows_and_logits():
+    rng = np.random.default_rng(1)
+    err, places = rng.normal(size=(50, L.CLASSES)).astype(np.float32), rng.integers(0, 7, (L.FEATURES, 50))
+    want = np.zeros((7, L.CLASSES))
+    for row in places:
+        for i, k in enumerate(row):
+            want[k] += err[i]
+    assert np.allclose(L._sums_by_row(err, places, 7), want, atol=1e-4)
+    w, rows = rng.normal(size=(16, L.CLASSES)).astype(np.float32), rng.integers(0, 16, (L.FEATURES, 50))
+    for scale in (1, 1000):  # beyond what exp() can take
+        z = L._logits(w * np.float32(scale), np.zeros(L.CLASSES, np.float32), rows).astype(float)
+        plain = w[rows].sum(0).astype(float) * scale
+        assert np.isfinite(np.exp(z.astype(np.float32))).all() and np.allclose(z - z.max(1, keepdims=True), plain - plain.max(1, keepdims=True), rtol=1e-4, atol=1e-2 * scale)
+
+
+def test_score_is_what_weights_and_turns_say(spark):
+    """The model's log10 probability of texts, class and turns, by a plain reading of its definition."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}ing" for k in range(1, 40))) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    model, counts, *_ = L.fit(docs, docs.doc_id < 50)
+    c = {bytes(r.token): r.c for r in counts.collect() if r.token is not None}
+    tree, low = model.tree, (1 << 32) - 1
+    log = lambda z: -math.log1p(math.exp(-z)) if z > 0 else z - math.log1p(math.exp(z))
+
+    def score(text):
+        own, t, out = [*text.encode().lower().split(), None], L._Tokens([text.encode()]), 0.0
+        for k, x in enumerate(own):
+            z = model.bias.astype(float) + sum(model.w[r].astype(float) for r in t.rows[:, k])
+            y = L.END if x is None else L.class_of(x)
+            out += z[y] - z.max() - math.log(np.exp(z - z.max()).sum())
+            if x is None:
+                continue
+            spot = int(L.spots_of(L.hashes_of([x]))[0]) * tree.spots >> L.SPOT_BITS
+            at = tree.leaf[x] if x in tree.leaf else len(tree.leaf) + y * tree.spots + spot
+            mass = (c.get(x, 0) + 0.5) if x in c else 0.5 / tree.spots
+            prior, cells = math.log(mass) - math.log(10) * model.below[y], model.cells[y]
+            bits = (len(cells) // L.FEATURES).bit_length() - 1
+            while tree.parent[at] >= 0:
+                node, sign = int(tree.parent[at]), 1 if tree.right[at] else -1
+                places = [((((int(key) ^ (node * int(L._ODD_NODE) & low)) * int(L._ODD_CELL)) & low) >> (32 - bits)) + (i << bits) for i, key in enumerate(t.keys[:, k])]
+                bias = float(tree.bias[node])
+                prior += log(sign * (bias + sum(float(cells[p]) for p in places))) - log(sign * bias)
+                at = node
+            out += prior
+        return out / math.log(10)
+
+    got = {r.doc_id: r.score for r in L.scored(docs, F.col("doc_id") >= 50).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - score(r.text or "")) < 1e-3 * abs(got[r.doc_id])
+
+
+def test_keys_are_those_of_the_tokens_before():
+    t = L._Tokens([b"aa bb cc dd", b"", b"bb aa"])
+    h = {w: int(x) for w, x in zip(t.forms, t.hashes)}
+    for text, start in ((b"aa bb cc dd", 0), (b"", 5), (b"bb aa", 6)):
+        w = text.split()
+        for k in range(len(w) + 1):
+            h1, h2 = (h[w[k - i]] if k >= i else L._NONE for i in (1, 2))
+            c = [L.class_of(w[k - i]) if k >= i else L.END for i in (1, 2, 3)]
+            xs = [h1, h1 * int(L._ODD) + h2, h2, (c[0] * L.CLASSES + c[1]) * L.CLASSES + c[2]]
+            want = [int(L.mix64(np.array([(x + (i << 56)) % 2**64], np.uint64))[0]) >> 32 for i, x in enumerate(xs)]
+            assert t.keys[:, start + k].tolist() == want
